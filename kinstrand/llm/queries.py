@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinstrand.llm import langid, packing, simhash
+from kinstrand.llm import chat, decontaminate, langid, licenses, packing, pii, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace_personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_replaced")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -28,10 +37,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+    return found.withColumn("mask", chat.spans_text(F.col("mask")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op9_chat_perspectives": op9_chat_perspectives,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_chat_perspectives": chat.ORACLE}

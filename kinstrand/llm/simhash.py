@@ -18,9 +18,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinstrand.llm.arrow_text import bounded_batches
+from kinstrand.llm.rows import without
 from kinstrand.plans.graph import connected_components
 from kinstrand.plans.storage import materialize
 
@@ -267,6 +269,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose doc_id is the smallest of its near-duplicate group."""
-    first = near_duplicates(docs, words, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` (all columns) that are first in their near-duplicate group: those with its smallest doc_id,
+    and of rows that repeat that id the one with the least text. Rows without doc_id stay.
+    """
+    found = materialize(near_duplicates(docs, words, distance).where("doc_id IS NOT NULL"), "classes")
+    kept = without(docs, materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "later-copies"))
+    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    order = W.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    first = again.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    return without(kept, repeated).unionByName(first)
