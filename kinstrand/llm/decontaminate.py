@@ -113,7 +113,10 @@ def _block_words(raw: np.ndarray, opening: bool) -> tuple[np.ndarray, ...]:
 
 def words(raw: np.ndarray, at: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, ...]:
     """Canonical words of all texts in a flat array, each of which begins with white space: canonical hash, literal hash,
-    is a placeholder, and how many words precede each text."""
+    is a placeholder, is a name, and how many words precede each text.
+
+    Where more than three words in a row look like names, as in a heading or a text in capitals, none of them is one.
+    """
     pieces, k = [], 0
     while k < len(raw):
         end = min(len(raw), k + block)
@@ -125,15 +128,19 @@ def words(raw: np.ndarray, at: np.ndarray, block: int = BLOCK) -> tuple[np.ndarr
         k = end
     if not pieces:
         empty = np.zeros(0, np.uint64)
-        return empty, empty, np.zeros(0, bool), np.zeros(len(at), np.int64)
+        return empty, empty, np.zeros(0, bool), np.zeros(0, bool), np.zeros(len(at), np.int64)
     h, digit, name, opens, start = (np.concatenate(x) for x in zip(*pieces, strict=True))
     first = np.searchsorted(start, at)
     opens[first[:-1][first[:-1] < len(opens)]] = True
     name &= ~opens
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], name, [False]]).astype(np.int8)))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if b - a > 3:
+            name[a:b] = False
     unit = np.zeros(len(h), bool)
     unit[1:] = digit[:-1] & np.isin(h[1:], _unit_hashes()) & ~digit[1:]
     canonical = np.where(digit, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
-    return canonical, h, digit | unit | name, first
+    return canonical, h, digit | unit | name, name & ~digit & ~unit, first
 
 
 @lru_cache(maxsize=1)
@@ -152,9 +159,8 @@ def window_hashes(canonical: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-def _windows(raw: np.ndarray, at: np.ndarray, length: int, made: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+def _windows(length: int, canonical: np.ndarray, slot: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows inside one text each: text number, word position, hash, and where their words are."""
-    canonical, _, slot, first = made
     h = window_hashes(canonical, length)
     if not len(h):
         return (np.zeros(0, np.int64),) * 2 + (h,) + (np.zeros(0, np.int64),)
@@ -178,7 +184,8 @@ def template_windows(texts: DataFrame, id_column: str, lengths: tuple[int, ...]
     """Template windows (``_FOUND``) of ``texts`` (the id and text).
 
     With ``lengths``, windows of those lengths that the broadcast ``bitmap`` lets through; without, all windows of
-    ``WINDOW`` words, or the whole text as one window if it is shorter. ``copy`` tells rows of one id apart.
+    ``WINDOW`` words, or the whole text as one window if it is shorter, and those with names once more with the names as
+    they are, for texts that write them small. ``copy`` tells rows of one id apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,27 +193,32 @@ def template_windows(texts: DataFrame, id_column: str, lengths: tuple[int, ...]
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, at = _with_blank(part.column("text"))
-                made = words(raw, at)
-                sizes = np.diff(made[3])
+                canonical, literal, slot, name, first = words(raw, at)
+                sizes = np.diff(first)
                 rows: list[tuple[np.ndarray, ...]] = []
-                for n in lengths or sorted({WINDOW, *(int(x) for x in np.unique(sizes) if LEAST_WORDS <= x < WINDOW)}):
-                    text, position, h, k = _windows(raw, at, n, made)
-                    if there is not None:
-                        take = there[(h & np.uint64((1 << BITMAP) - 1)).astype(np.int64)]
-                    else:
-                        take = (sizes[text] == n) if n < WINDOW else np.ones(len(h), bool)
-                    if take.any():
-                        rows.append((text[take], np.full(int(take.sum()), n, np.int32), position[take], h[take], k[take]))
+                lists: list[np.ndarray] = []
+                for plain in (False,) if there is not None else (False, True):
+                    own, filled = (np.where(name, literal, canonical), slot & ~name) if plain else (canonical, slot)
+                    names = np.concatenate([[0], np.cumsum(name)])
+                    for n in lengths or sorted({WINDOW, *(int(x) for x in np.unique(sizes) if LEAST_WORDS <= x < WINDOW)}):
+                        text, position, h, k = _windows(n, own, filled, first)
+                        if there is not None:
+                            take = there[(h & np.uint64((1 << BITMAP) - 1)).astype(np.int64)]
+                        else:
+                            take = (sizes[text] == n) if n < WINDOW else np.ones(len(h), bool)
+                            if plain:
+                                take &= names[k + n] > names[k]
+                        if take.any():
+                            rows.append((text[take], np.full(int(take.sum()), n, np.int32), position[take], h[take]))
+                            lists += [literal[x : x + n].view(np.int64)[filled[x : x + n]] for x in k[take].tolist()]
                 if not rows:
                     continue
-                text, n, position, h, k = (np.concatenate(x) for x in zip(*rows, strict=True))
+                text, n, position, h = (np.concatenate(x) for x in zip(*rows, strict=True))
                 copies = {t: zlib.crc32(raw[at[t] : at[t + 1]].tobytes()) for t in np.unique(text).tolist()}
-                literal, slot = made[1].view(np.int64), made[2]
-                slots = [literal[a : a + m][slot[a : a + m]] for a, m in zip(k.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(text)), pa.array([copies[t] for t in text.tolist()], pa.int64()), pa.array(n), pa.array(position),
-                        pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(np.maximum(1, sizes[text] - n + 1)),
+                        pa.array(h.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(np.maximum(1, sizes[text] - n + 1)),
                     ],
                     names=["id", "copy", "length", "position", "hash", "slots", "n_windows"],
                 )

@@ -65,6 +65,8 @@ _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|data-role)\s*=\s*(?:"([^"]
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: A tag that the page ends in; it is no text.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
 class Node:
@@ -114,9 +116,8 @@ class Page:
         while at < size:
             m = _TAG.search(source, at)
             if m is None:
-                cut = source.find("<", at)
-                # an unfinished tag at the end is no text
-                end = cut if cut >= 0 and re.match(r"<[a-zA-Z/!?]", source[cut : cut + 2]) and ">" not in source[cut:] else size
+                unfinished = _UNFINISHED.search(source, at)
+                end = unfinished.start() if unfinished else size
                 text_until(end)
                 break
             text_until(m.start())
@@ -456,7 +457,8 @@ def extract(sources: list[str | None], model: BoostedTrees) -> list[str]:
         if p is None:
             out.append("")
             continue
-        out.append("\n".join(p.main_blocks(odds[at : at + len(p.nodes)])))
+        plain = len(p.nodes) == 1
+        out.append("\n".join([t for _, t in p.blocks] if plain else p.main_blocks(odds[at : at + len(p.nodes)])))
         at += len(p.nodes)
     return out
 
@@ -466,7 +468,7 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataF
 
     White space inside a block becomes one space, blocks are joined by a line break in page order, character references
     are decoded, and nothing is cut off. A null or empty page has an empty text, as has one without an article; a text
-    without any tag is one block. Null ids and urls and repeated rows are kept; further columns are ignored; an empty table
+    without any element is its own main text. Null ids and urls and repeated rows are kept; further columns are ignored; an empty table
     gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(classifier(train_pages))  # some hundred kB

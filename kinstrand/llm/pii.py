@@ -3,7 +3,7 @@
 Mentions are found by one regular expression. A mention's identity is its type and its normalised value, so that one
 person's phone number in two notations is one entity. The entity's surrogate is drawn from a keyed hash of that identity
 and written in the shape of the mention: digits for digits, letters for letters in their case, a check digit where the
-original had one, a name of the same gender and script.
+original had one, a name of the same gender and script. Domains and numbers set aside for examples stay so.
 
 Distinctness is checked over the whole input: the surrogates of all entities are compared with each other and with every
 value that occurs. The later of two entities that meet, and any that meets an existing value, is drawn again with the
@@ -108,10 +108,10 @@ def _pick(draw: Column, k: Column | int, n: Column | int) -> Column:
     return (F.conv(F.substring(draw, at, F.lit(4)), 16, 10).cast("int") + k) % n
 
 
-def _reshape(text: Column, draw: Column, hexadecimal: Column, skip: Column | int = 0) -> Column:
+def _reshape(text: Column, draw: Column, hexadecimal: Column, skip: int = 0, digits_only: Column | None = None) -> Column:
     """Other characters of the same classes: digits, capital and small letters of Latin or Cyrillic; the rest stays, as do
-    the first ``skip`` characters."""
-    skip = F.lit(skip) if isinstance(skip, int) else skip
+    the first ``skip`` characters and, with ``digits_only``, all letters."""
+    letters_stay = F.lit(False) if digits_only is None else digits_only
 
     def one(c: Column, k: Column) -> Column:
         code = lambda base, n: F.substring(F.lit(base), _pick(draw, k, n) + 1, F.lit(1))
@@ -120,6 +120,7 @@ def _reshape(text: Column, draw: Column, hexadecimal: Column, skip: Column | int
         return (
             F.when(k < skip, c)
             .when(c.rlike("[0-9]"), _pick(draw, k, 10).cast("string"))
+            .when(letters_stay, c)
             .when(hexadecimal & c.rlike("[a-f]"), code("abcdef", 6))
             .when(c.rlike("[a-z]"), code(small, 26))
             .when(c.rlike("[A-Z]"), code(small.upper(), 26))
@@ -188,11 +189,16 @@ def _new_value(kind: Column, identity: Column, draw: Column, attempt: Column) ->
     reserved = domain.rlike(r"(^|\.)example\.(com|net|org)$")
     label = F.when(reserved, F.regexp_replace(domain, r"example\.(com|net|org)$", "")).otherwise(host)
     tail = F.when(reserved, F.regexp_extract(domain, r"(example\.(com|net|org))$", 1)).otherwise(top)
-    email = F.concat(_reshape(local, draw, no), F.lit("@"), _reshape(label, F.reverse(draw), no), tail)
+    # a short name has few shapes: later attempts lengthen it
+    longer = F.when(attempt > 1, F.substring(F.translate(F.reverse(draw), "0123456789", "ghijkmnpqr"), F.lit(1), attempt)).otherwise("")
+    email = F.concat(_reshape(local, draw, no), longer, F.lit("@"), _reshape(label, F.reverse(draw), no, 0, reserved), tail)
+    # numbers with 555 are set aside for examples and stay so as long as that leaves enough
+    phone = _reshape(identity, draw, no)
+    phone = F.when((size == 10) & (F.substring(identity, 4, 3) == "555") & (attempt < 4), F.concat(F.substring(phone, 1, 3), F.lit("555"), F.substring(phone, 7, 4))).otherwise(phone)
     return (
         F.when(kind == "name", _new_name(identity, draw, attempt))
         .when(kind == "email", email)
-        .when(kind == "phone", _reshape(identity, draw, no))
+        .when(kind == "phone", phone)
         .when(kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
         .when(kind == "card", card)
         .when(kind.isin("key", "iban"), _reshape(identity, draw, no, 4))

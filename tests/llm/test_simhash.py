@@ -1,36 +1,12 @@
-import re
 from collections import Counter
 
 import numpy as np
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinstrand.llm import simhash
-
-
-def brute_print(text):
-    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    if not words:
-        return 0
-    shingles = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+from tests_llm_helpers import brute_components, brute_print
 
-
-def brute_components(prints):
-    """doc ids (one fingerprint each) to the smallest reachable id."""
-    ids = sorted(prints)
-    label = {d: d for d in ids}
-    changed = True
-    near = {d: [e for e in ids if (prints[d] ^ prints[e]).bit_count() <= 4] for d in ids}
-    while changed:
-        changed = False
-        for d in ids:
-            least = min(label[e] for e in near[d])
-            if least < label[d]:
-                label[d], changed = least, True
-    return label
+from kinstrand.llm import simhash
 
 
 def test_documents(spark, sf_dir):
