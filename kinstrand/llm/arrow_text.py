@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one slice holds at most, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows that Spark hands to a Python worker at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def bounded_batches(spark) -> None:

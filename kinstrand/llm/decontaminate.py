@@ -36,8 +36,8 @@ LEAST_WORDS = 3
 BITMAP = 22
 #: Benchmark windows up to which their table is broadcast; a shuffled join serves larger ones.
 BROADCAST_ROWS = 200_000
-#: Bytes that are taken at once from a long text.
-BLOCK = 1 << 20
+#: Bytes whose words are found at once; their numbers take some dozen times that.
+BLOCK = 1 << 18
 
 # Units that may follow a number.
 UNITS = (
@@ -93,13 +93,17 @@ def _block_words(raw: np.ndarray, opening: bool) -> tuple[np.ndarray, ...]:
         lead = np.concatenate([[False], raw[:-1] == 0xC3]) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
         value[lead] += np.uint64(32)
         upper = upper | np.concatenate([lead[1:], [False]])
-    rank = np.concatenate([[0], np.cumsum(keep)])
+    rank = np.concatenate([np.zeros(1, np.int32), np.cumsum(keep, dtype=np.int32)])
     size = 1 << max(16, int(rank[-1] + 2).bit_length())
     up, down = _powers(size)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[keep] * up[: rank[-1]], dtype=np.uint64)])
     first, last = rank[start], rank[end]
     hashed = mix((total[last] - total[first]) * down[first])
-    count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask[keep])])[np.stack([first, last])], axis=0)[0]
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask[keep], dtype=np.int32)])
+        return sums[last] - sums[first]
+
     digit, capitals = count(_DIGIT[raw]) > 0, count(upper)
     letters = count((raw < 0x80) | (raw > 0xBF))
     where = np.flatnonzero(keep)
