@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinstrand import __version__
 from kinstrand.config import EngineConfig
 from kinstrand.operators import align, annotate, build, entries, evaluate, pileup
+from kinstrand.plans.storage import materialize
 from kinstrand.sources import bam, text
 
 PREFERENCES = Path.home() / ".kinstrand.json"
@@ -102,21 +103,23 @@ def filter_variants(spark, a):
     reads = _reads(spark, a.bam) if a.bam else None
     single = annotate.split_alleles(variants)
     done, links = annotate.annotate(single, _tables(spark, a.table), reads, genome, cfg)
+    done, links = materialize(done, "annotated"), materialize(links, "links")
     fmt, genotype = annotate.tag_genotype(F.coalesce("format", F.lit("GT")), F.coalesce("genotype", F.lit(".")), F.col("n_links"))
     text.write_vcf(done.withColumn("_f", fmt).withColumn("_g", genotype).drop("format", "genotype").withColumnsRenamed({"_f": "format", "_g": "genotype"}), f"{a.output}.vcf", header, text.FILTER_LINES)
     sites = links.join(done.select("var_id", "chr", "pos"), "var_id")
     text.write_links(sites, f"{a.output}.vtf")
     report = done.select("var_id", "chr", "pos", "ref_base", "alt_base", "n_links")
+    names = ["chr", "position", "ref", "alt", "thesaurus.synonyms"]
     for label, path in [*([(a.label, a.bam)] if a.bam else []), *zip(a.compare_label, a.compare_bam, strict=True)]:
         places = done.select("chr", "pos").unionByName(links.select(F.col("to_chr").alias("chr"), F.col("to_pos").alias("pos")))
         counts = pileup.base_counts(places, _reads(spark, path), 0)
         plain = pileup.naive_frequency(done, counts).select("var_id", "naive_baf", F.col("cov").alias("naive_cov"))
         pooled = pileup.pooled_frequency(done, links, counts).select("var_id", "pooled_baf", "pooled_cov")
         both = plain.join(pooled, "var_id")
-        report = report.join(
-            both.select("var_id", pileup.four_places_text(F.col("naive_baf")).alias(f"{label}.naive.BAF"), pileup.four_places_text(F.col("pooled_baf")).alias(f"{label}.thesaurus.BAF"), F.col("naive_cov").alias(f"{label}.naive.cov"), F.col("pooled_cov").alias(f"{label}.thesaurus.cov")), "var_id"
-        )
-    text.write_report(report.orderBy("chr", "pos").drop("var_id"), f"{a.output}.baf", ["chr", "position", "ref", "alt", "thesaurus.synonyms", *report.columns[6:]])
+        names += [f"{label}.naive.BAF", f"{label}.thesaurus.BAF", f"{label}.naive.cov", f"{label}.thesaurus.cov"]
+        figures = (pileup.four_places_text(F.col("naive_baf")), pileup.four_places_text(F.col("pooled_baf")), F.col("naive_cov"), F.col("pooled_cov"))
+        report = report.join(both.select("var_id", *(x.alias(f"c{len(names) - 4 + k}") for k, x in enumerate(figures))), "var_id")
+    text.write_report(report.orderBy("chr", "pos").drop("var_id"), f"{a.output}.baf", names)
 
 
 def annotate_vtf(spark, a):

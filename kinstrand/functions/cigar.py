@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ELEMENTS = "array<struct<len:int,op:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is named there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse(text: Column) -> Column:
     return F.transform(
         F.regexp_extract_all(text, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)),
@@ -107,13 +114,7 @@ def soft_clip(sequence: Column, elements: Column, start: Column, reference: Colu
     as_is = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), elements.cast(_ELEMENTS).alias("cigar"))
     if clip < 1:
         return as_is
-    good = matches(sequence, elements, start, reference)
     row = "1" * clip
-    size = F.length(good)
-    left = F.greatest(F.instr(good, row), F.lit(1))  # 1-based in the read
-    from_right = F.instr(F.reverse(good), row)
-    right = F.when(from_right > 0, size - from_right + 1).otherwise(left)
-    placed = base_positions(elements, start)
     offsets = F.aggregate(
         elements,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<len:int,op:string,from:int>>").alias("out")),
@@ -123,22 +124,35 @@ def soft_clip(sequence: Column, elements: Column, start: Column, reference: Colu
         ),
         lambda acc: acc["out"],
     )
+    seen = F.struct(matches(sequence, elements, start, reference).alias("good"), base_positions(elements, start).alias("placed"), offsets.alias("offsets"))
+
+    def bounds(s: Column) -> Column:
+        left = F.greatest(F.instr(s["good"], row), F.lit(1))  # 1-based in the read
+        from_right = F.instr(F.reverse(s["good"]), row)
+        size = F.length(s["good"])
+        right = F.when(from_right > 0, size - from_right + 1).otherwise(left)
+        return F.struct(left.alias("left"), right.alias("right"), size.alias("size"), s["placed"].alias("placed"), s["offsets"].alias("offsets"))
+
+    def result(s: Column) -> Column:
+        left, right, size, placed = s["left"], s["right"], s["size"], s["placed"]
+
+        def kept(x: Column) -> Column:
+            within = F.least(x["from"] + x["len"], right) - F.greatest(x["from"], left - 1)
+            whole = x["op"].isin("D", "N") & (x["from"] >= left) & (x["from"] < right)
+            return F.struct(F.when(x["op"].isin("D", "N"), F.when(whole, x["len"]).otherwise(0)).otherwise(within).cast("int").alias("len"), x["op"].alias("op"))
+
+        # clipped before means clipped after: such bases are part of the new ends
+        core = F.filter(F.transform(F.filter(s["offsets"], lambda x: ~x["op"].isin("S", "H", "P")), kept), lambda x: x["len"] > 0)
+        clips = lambda n: F.filter(F.array(F.struct(n.cast("int").alias("len"), F.lit("S").alias("op"))), lambda x: x["len"] > 0)
+        new = F.struct(
+            F.element_at(placed, left).alias("start"), F.element_at(placed, right).alias("end"),
+            F.concat(clips(left - 1), core, clips(size - right)).cast(_ELEMENTS).alias("cigar"),
+        )
+        touched = (left > 1) | (right < size)
+        usable = (size >= 2 * clip) & ~is_complex(elements) & (left <= right) & (F.element_at(placed, left) > 0) & (F.element_at(placed, right) > 0)
+        return F.when(touched & usable, new).otherwise(as_is)
 
-    def kept(x: Column) -> Column:
-        within = F.least(x["from"] + x["len"], right) - F.greatest(x["from"], left - 1)
-        whole = x["op"].isin("D", "N") & (x["from"] >= left) & (x["from"] < right)
-        return F.struct(F.when(x["op"].isin("D", "N"), F.when(whole, x["len"]).otherwise(0)).otherwise(within).cast("int").alias("len"), x["op"].alias("op"))
-
-    # clipped before means clipped after: such bases are part of the new ends
-    core = F.filter(F.transform(F.filter(offsets, lambda x: ~x["op"].isin("S", "H", "P")), kept), lambda x: x["len"] > 0)
-    clips = lambda n: F.filter(F.array(F.struct(n.cast("int").alias("len"), F.lit("S").alias("op"))), lambda x: x["len"] > 0)
-    new = F.struct(
-        F.element_at(placed, left).alias("start"), F.element_at(placed, right).alias("end"),
-        F.concat(clips(left - 1), core, clips(size - right)).cast(_ELEMENTS).alias("cigar"),
-    )
-    touched = (left > 1) | (right < size)
-    usable = (size >= 2 * clip) & ~is_complex(elements) & (left <= right) & (F.element_at(placed, left) > 0) & (F.element_at(placed, right) > 0)
-    return F.when(touched & usable, new).otherwise(as_is)
+    return let(let(seen, bounds), result)
 
 
 def from_blocks(read_length: Column, sizes: Column, read_starts: Column, target_starts: Column) -> Column:

@@ -15,6 +15,7 @@ from kinstrand.functions.dna import complement
 from kinstrand.operators.entries import lift_base, lift_position, lift_span, self_overlaps
 from kinstrand.operators.intervals import overlap_join, overlap_semi, stab_join
 from kinstrand.operators.pileup import covering, usable
+from kinstrand.plans.storage import materialize
 
 # FILTER tokens and the genotype key of annotated variants.
 LINKED, HARD, MANY, COUNT_KEY = "thesaurus", "thesaurushard", "thesaurusmany", "TS"
@@ -124,9 +125,12 @@ def supported_links(variants: DataFrame, entries: DataFrame, reads: DataFrame, g
     """
     tolerance = cfg.tolerance if tolerance is None else tolerance
     known = _entries(entries).withColumn("entry_id", F.monotonically_increasing_id())
-    near = near_entries(variants, known, cfg.read_length).select("var_id", "entry_id", *known.drop("entry_id").columns)
+    # stored: both are used several times, and entries keep the number that they get here
+    near = materialize(near_entries(variants, known, cfg.read_length).select("var_id", "entry_id", *known.drop("entry_id").columns), "near-entries")
     good = usable(reads, cfg.min_mapping_quality)
-    pairs = clipped(covering(variants, good), genome, cfg.clip)
+    mates = [c for c in ("mate_chr", "mate_start") if c in reads.columns]
+    pairs = clipped(covering(variants, good), genome, cfg.clip).select("var_id", "chr", "pos", "ref_base", "alt_base", "read_id", "start_pos", "end_pos", "seq", "cigar", "base", "n_mismatches", *mates)
+    pairs = materialize(pairs, "pairs")
     shows = F.col("base") == F.col("alt_base")
     clean = shows & ~cg.has_indel_or_splice(F.col("cigar")) & (F.col("n_mismatches") <= cfg.max_tolerance + 1)
     per = pairs.groupBy("var_id").agg(F.count_if(shows).alias("n_alt"), F.count_if(clean).alias("n_clean"))
@@ -149,6 +153,7 @@ def supported_links(variants: DataFrame, entries: DataFrame, reads: DataFrame, g
     within = within.where(F.col("mate_ok") | self_overlaps())
     inside = F.filter("anchors", lambda a: a["align_pos"].between(F.col("start_pos"), F.col("end_pos")))
     within = within.withColumn("_inside", inside).withColumn("_here", F.size("_inside")).withColumn("_shown", F.size(F.filter("_inside", _read_shows)))
+    within = materialize(within, "readings")
     within = origin_tolerance(within.withColumn("pair_id", F.struct("var_id", "read_id", "entry_id")), variants, tolerance, cfg.max_tolerance)
     support = within.where((F.col("_here") <= F.col("allowed")) | (F.col("_shown") >= F.col("_here") - F.col("allowed")))
     keys = ["var_id", "entry_id"]
@@ -159,7 +164,7 @@ def supported_links(variants: DataFrame, entries: DataFrame, reads: DataFrame, g
     place = F.struct(F.col("origin_chr").alias("to_chr"), lift_position(F.col("pos")).cast("long").alias("to_pos"), lift_base(F.col("ref_base")).alias("to_ref"), lift_base(F.col("alt_base")).alias("to_alt"))
     places = F.when(on_anchor, anchor_places()).otherwise(F.array(place))
     placed = linked.select("var_id", "chr", "pos", F.explode(places).alias("x")).select("var_id", "chr", "pos", "x.*")
-    return _distinct_places(placed), per
+    return materialize(_distinct_places(placed), "links"), materialize(per, "support")
 
 
 def anchor_places() -> Column:

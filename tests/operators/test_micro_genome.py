@@ -229,4 +229,4 @@ def test_pooled_equals_naive_without_links(spark, sequences):
     counts = pileup.base_counts(variants, reads)
     none = spark.createDataFrame([], "var_id long, to_chr string, to_pos long, to_ref string, to_alt string")
     assert pileup.naive_frequency(variants, counts).first()["naive_baf"] == pileup.pooled_frequency(variants, none, counts).first()["pooled_baf"] == 1.0
-    assert spark.range(1).select(pileup.four_places_text(F.lit(0.12345))).first()[0] == "0.1234"
+    assert spark.range(1).select(pileup.four_places_text(F.lit(0.03125))).first()[0] == "0.0312"

@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinstrand.functions import cigar as cg
@@ -46,7 +44,7 @@ def walk(cigar, start):
     return out, at - 1
 
 
-CIGARS = ["10M", "4M3D6M", "4M2I4M", "3S7M", "4M5N6M", "2S3M1I2M2D2M1S", "3M1D1I6M"]
+CIGARS = ["10M", "4M3D6M", "4M2I4M", "3S7M", "4M5N6M", "2S3M1I2M2D1M1S", "3M1D1I6M"]
 
 
 def test_cigar_walk(spark):
@@ -61,18 +59,17 @@ def test_cigar_walk(spark):
             assert r[f"b{k}"] == ("ACGTACGTAC"[positions.index(k)] if k in positions else "N")
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(CIGARS[:6]), st.lists(st.integers(0, 9), max_size=4)), min_size=1, max_size=6))
-def test_soft_clip_equals_scan(spark, cases):
+def test_soft_clip_equals_scan(spark):
     """Against a plain scan: first and last row of enough matches."""
+    rng = random.Random(8)
     rows = []
-    for cigar, wrong in cases:
-        positions, end = walk(cigar, 1)
-        ref = ["A"] * end
+    for _ in range(150):
+        cigar = rng.choice(CIGARS[:6])
+        _, end = walk(cigar, 1)
         seq = ["A"] * 10
-        for k in wrong:
+        for k in rng.sample(range(10), rng.randint(0, 4)):
             seq[k] = "C"
-        rows.append((cigar, "".join(seq), "".join(ref)))
+        rows.append((cigar, "".join(seq), "A" * end))
     df = spark.createDataFrame(rows, "c string, s string, r string").withColumn("e", cg.parse(F.col("c")))
     got = df.select("c", "s", cg.soft_clip(F.col("s"), F.col("e"), F.lit(1), F.col("r"), 3).alias("x"), cg.mismatch_count(F.col("s"), F.col("e"), F.lit(1), F.col("r")).alias("m")).collect()
     for r in got:
