@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
     vertices = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("name"))
-    links = materialize(near_links(vertices, distance, chunk=chunk), "links")
+    links = near_links(vertices, distance, chunk=chunk)
     # a document that comes with several texts links their fingerprints
     several = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
     own = prints.join(several, "doc_id", "left_semi").join(vertices, "fp").select(F.col("doc_id").alias("src"), F.col("name").alias("dst"))
