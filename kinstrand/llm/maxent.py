@@ -43,8 +43,8 @@ RATE = 0.15
 #: Characters of text for one training task.
 TRAINER_CHARS = 32_000_000
 TRAINERS = 6
-#: Bytes that are taken at once from a long text.
-BLOCK = 1 << 20
+#: Bytes whose tokens are found at once; their numbers take some dozen times that.
+BLOCK = 1 << 18
 
 END = np.uint64(0x27D4EB2F165667C5)
 _BASE = 0x9FB21C651E98DF25
