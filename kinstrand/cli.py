@@ -109,6 +109,7 @@ def filter_variants(spark, a):
     sites = links.join(done.select("var_id", "chr", "pos"), "var_id")
     text.write_links(sites, f"{a.output}.vtf")
     report = done.select("var_id", "chr", "pos", "ref_base", "alt_base", "n_links")
+    # fixed values: the report's column names, here and below
     names = ["chr", "position", "ref", "alt", "thesaurus.synonyms"]
     for label, path in [*([(a.label, a.bam)] if a.bam else []), *zip(a.compare_label, a.compare_bam, strict=True)]:
         places = done.select("chr", "pos").unionByName(links.select(F.col("to_chr").alias("chr"), F.col("to_pos").alias("pos")))

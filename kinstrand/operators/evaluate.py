@@ -136,13 +136,12 @@ def trivial_entries(entries: DataFrame, row: str = "row_id") -> DataFrame:
 
 def rank_hits(hits: DataFrame, read: str, score: str) -> DataFrame:
     """Hits with their ranks among those of the read by falling score: ``best_rank`` counts ties for the hit, ``worst_rank``
-    against it; ``n_hits``, ``below_best`` and the ``next_score``."""
+    against it; ``n_hits`` and how far the score is ``below_best``."""
     by = W.partitionBy(read).orderBy(F.desc(score))
     return hits.select(
         "*", F.rank().over(by).alias("best_rank"), F.count("*").over(by.rangeBetween(W.unboundedPreceding, W.currentRow)).alias("worst_rank"),
         F.count("*").over(W.partitionBy(read)).alias("n_hits"), (F.first(score).over(by) - F.col(score)).alias("below_best"),
-        F.max(F.col(score)).over(by.rangeBetween(W.currentRow, W.unboundedFollowing)).alias("same_or_less"),
-    ).drop("same_or_less")
+    )
 
 
 def route_hits(ranked: DataFrame, elements: Column | None = None, longest_indel: int = 10, most: int = 1) -> DataFrame:
