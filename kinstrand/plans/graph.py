@@ -11,21 +11,20 @@ from kinstrand.plans.storage import materialize
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Map every vertex that occurs in ``edges`` to the smallest vertex it can reach.
 
-    Alternates two star contractions on the edge table until it no longer changes; a round of two of each is four
-    aggregations and equi-joins, and the number of rounds grows with the logarithm of the longest path. Nothing but a row count and
-    a checksum comes to the driver. Rows with a null end and self links add no connection; a vertex that has only a
+    Alternates two star contractions on the edge table until it no longer changes; each round is two aggregations and
+    two equi-joins, and the number of rounds grows with the logarithm of the longest path. Nothing but a row
+    count and a checksum comes to the driver. Rows with a null end and self links add no connection; a vertex that has only a
     self link still gets a row.
 
     Returns ``vertex, component``.
     """
     clean = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    alone = clean.where("a = b").select("a").distinct()
-    links = materialize(
-        clean.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
+    stored = materialize(clean.distinct(), "edges")
+    alone = stored.where("a = b").select("a")
+    links = stored.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     for _ in range(max_rounds):
-        links = materialize(_small_star(_large_star(_small_star(_large_star(links)))), "links")
+        links = materialize(_small_star(_large_star(links)), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
