@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised and mapped to the identifiers of known licence sentences. Licence rules
+A text is cut into sentences, which are normalised and mapped to the identifiers of the known licence sentences in them. Licence rules
 are sequences of identifiers; they are tried in their order at every place of a document's identifier sequence, and the
 first that matches takes its sentences. A document is scanned as a whole, but only from where a word occurs that a known
 sentence must have.
@@ -39,7 +39,7 @@ SENTENCES = {
     "apache-compliance": r"you may not use this file except in compliance with the license",
     "apache-copy": r"you may obtain a copy of the license at",
     "apache-as-is": r"software distributed under the license is distributed on an as is basis",
-    "gpl-free": r"(this program|this software|this library|.{1,40}) is free software you can redistribute it and ?/?( or)? modify it under the terms of the gnu (?P<k>lesser |library |affero )?general public license",
+    "gpl-free": r"(this program|this software|this library|\S{1,40}) is free software you can redistribute it and ?/?( or)? modify it under the terms of the gnu (?P<k>lesser |library |affero )?general public license",
     "gpl-later": r"either version (?P<v>\d(\.\d)?) of the license or at your option any later version",
     "gpl-hope": r"is distributed in the hope that it will be useful",
     "gpl-see": r"you should have received a copy of the gnu (lesser |library |affero )?general public license",
@@ -113,12 +113,16 @@ def normalise(sentence: str) -> str:
     return " ".join(w for w in plain.split() if w.strip("-+"))
 
 
-def identify(sentence: str) -> tuple[str, dict[str, str]] | None:
-    """The identifier of a normalised sentence and the named parts of its pattern."""
-    for name, pattern in _KNOWN.items():
-        if m := pattern.search(sentence):
-            return name, {k: v or "" for k, v in m.groupdict().items()}
-    return None
+def identify(sentence: str) -> list[tuple[str, dict[str, str]]]:
+    """The identifiers of all known licence sentences in a normalised sentence, in order of their places, and the named
+    parts of their patterns. What lies inside another is part of it."""
+    found = [(m.start(), -m.end(), name, m) for name, pattern in _KNOWN.items() for m in pattern.finditer(sentence)]
+    out, end = [], -1
+    for _, last, name, m in sorted(found, key=lambda x: x[:2]):
+        if -last > end:
+            out.append((name, {k: v or "" for k, v in m.groupdict().items()}))
+            end = -last
+    return out
 
 
 _KINDS = {"lesser ": "L", "library ": "L", "affero ": "A", "zero": "0"}
@@ -135,13 +139,14 @@ def _label(template: str, parts: dict[str, str]) -> str:
 
 
 def scan(text: str) -> list[tuple[str, str, int, int, int]]:
-    """Licence, rule, number of sentences, first and last position of every match, in order."""
+    """Licence, rule, number of known licence sentences, first and last position of every match, in order.
+
+    Several known ones may share a sentence of the text, as where ``;`` or a comma joins them."""
     if not _HINT.search(text):
         return []
     known = []
     for number, (first, last, plain) in enumerate(sentences(text)):
-        if plain and (found := identify(plain)):
-            known.append((number, found[0], found[1], first, last))
+        known += [(number, name, parts, first, last) for name, parts in (identify(plain) if plain else ())]
     out, k = [], 0
     while k < len(known):
         for rule, label, wanted in RULES:

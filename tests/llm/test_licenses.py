@@ -43,6 +43,59 @@ def test_rules(text, want):
     assert [m[:3] for m in licenses.scan(text)] == want
 
 
+GPL_HEADER = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU {k}General Public License
+as published by the Free Software Foundation; either version {v}
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {k}General Public License for more details.
+
+You should have received a copy of the GNU {k}General Public License
+along with this program; if not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (GPL_HEADER.format(k="", v="2"), [("GPL-2.0-or-later", "gpl-header", 4)]),
+        (GPL_HEADER.format(k="Lesser ", v="2.1"), [("LGPL-2.1-or-later", "gpl-header", 4)]),
+        (APACHE_HEADER, [("Apache-2.0", "apache-header", 4)]),
+    ],
+)
+def test_headers_as_written(text, want, mark):
+    assert [m[:3] for m in licenses.scan("".join(mark + line for line in text.splitlines(True)))] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (GPL, [("GPL-2.0-or-later", "gpl-short", 2)]),
+        ("This is free and unencumbered software released into the public domain.", [("Unlicense", "unlicense", 1)]),
+        ("All rights reserved, " + GPL, [("LicenseRef-all-rights-reserved", "reserved", 1), ("GPL-2.0-or-later", "gpl-short", 2)]),
+        ("Code is released under the MIT License; texts are licensed under CC BY 4.0.", [("MIT", "mit-named", 1), ("CC-BY-4.0", "cc-named", 1)]),
+    ],
+)
+def test_several_in_one_sentence(text, want):
+    assert [m[:3] for m in licenses.scan(text)] == want
+
+
 def test_documents_against_search(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = {
