@@ -4,7 +4,8 @@ Texts are brought to a canonical form: words in lower case without punctuation,
 the unit after a number, and for names (a capitalised word inside a sentence). Windows of the canonical form are hashed
 and joined by hash; so a question that was given other numbers or names still meets its template. What stood in the
 placeholders is compared afterwards: along an alignment, each value of the benchmark must always have become the same
-value in the document. An alignment that contradicts itself counts for nothing.
+value in the document; windows that hold another than most do count for nothing. Every window is also hashed with its
+names, and with all its words, as they are, so that a verbatim copy is found whatever its words look like.
 
 A bitmap of fixed size, set from the benchmark's hashes, decides in the scan which windows can have a partner at all; the
 exact hash join then sees only those, whatever the size of either side.
@@ -163,17 +164,13 @@ def window_hashes(canonical: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-def _windows(length: int, canonical: np.ndarray, slot: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows inside one text each: text number, word position, hash, and where their words are."""
+def _windows(length: int, canonical: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows inside one text each: text number, hash, and where their words are."""
     h = window_hashes(canonical, length)
-    if not len(h):
-        return (np.zeros(0, np.int64),) * 2 + (h,) + (np.zeros(0, np.int64),)
-    slots = np.concatenate([[0], np.cumsum(slot)])
     k = np.arange(len(h))
     text = np.searchsorted(first, k, side="right") - 1
-    good = (k + length <= first[np.minimum(text + 1, len(first) - 1)]) & (slots[length:] - slots[:-length] <= MOST_SLOTS * length)
-    k, text = k[good], text[good]
-    return text, k - first[text], h[good], k
+    good = k + length <= first[np.minimum(text + 1, len(first) - 1)]
+    return text[good], h[good], k[good]
 
 
 def _with_blank(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +178,16 @@ def _with_blank(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat(pc.binary_join_element_wise(pa.scalar(b"\n", pa.large_binary()), plain, pa.scalar(b"", pa.large_binary())))
 
 
-_FOUND = "id long, copy long, length int, position long, hash long, slots array<long>, n_windows long"
+_FOUND = "id long, copy long, length int, position long, hash long, slots array<long>, n_windows long, n_templates long"
 
 
 def template_windows(texts: DataFrame, id_column: str, lengths: tuple[int, ...] | None = None, bitmap=None) -> DataFrame:
     """Template windows (``_FOUND``) of ``texts`` (the id and text).
 
     With ``lengths``, windows of those lengths that the broadcast ``bitmap`` lets through; without, all windows of
-    ``WINDOW`` words, or the whole text as one window if it is shorter, and those with names once more with the names as
-    they are, for texts that write them small. ``copy`` tells rows of one id apart.
+    ``WINDOW`` words, or the whole text as one window if it is shorter. Each is hashed with placeholders for numbers, units
+    and names, with names as they are, and with all words as they are; what says too little as a template
+    (``MOST_SLOTS``) only as it is. ``n_templates``: how many say enough. ``copy`` tells rows of one id apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,30 +199,39 @@ def template_windows(texts: DataFrame, id_column: str, lengths: tuple[int, ...]
                 sizes = np.diff(first)
                 rows: list[tuple[np.ndarray, ...]] = []
                 lists: list[np.ndarray] = []
-                for plain in (False,) if there is not None else (False, True):
-                    own, filled = (np.where(name, literal, canonical), slot & ~name) if plain else (canonical, slot)
-                    names = np.concatenate([[0], np.cumsum(name)])
-                    for n in lengths or sorted({WINDOW, *(int(x) for x in np.unique(sizes) if LEAST_WORDS <= x < WINDOW)}):
-                        text, position, h, k = _windows(n, own, filled, first)
-                        if there is not None:
-                            take = there[(h & np.uint64((1 << BITMAP) - 1)).astype(np.int64)]
+                kinds = ((canonical, slot, None), (np.where(name, literal, canonical), slot & ~name, name), (literal, np.zeros(len(slot), bool), slot & ~name))
+                for n in lengths or sorted({WINDOW, *(int(x) for x in np.unique(sizes) if LEAST_WORDS <= x < WINDOW)}):
+                    templates = np.zeros(len(sizes), np.int64)
+                    for own, filled, other in kinds:
+                        if other is not None and not other.any():
+                            continue  # as the kind before
+                        text, h, k = _windows(n, own, first)
+                        slots = np.concatenate([[0], np.cumsum(filled)])
+                        take = slots[k + n] - slots[k] <= MOST_SLOTS * n
+                        if there is None:
+                            take &= (sizes[text] == n) | (n == WINDOW)
+                        if other is None:
+                            templates = np.bincount(text[take], minlength=len(sizes))
                         else:
-                            take = (sizes[text] == n) if n < WINDOW else np.ones(len(h), bool)
-                            if plain:
-                                take &= names[k + n] > names[k]
+                            others = np.concatenate([[0], np.cumsum(other)])
+                            take &= others[k + n] > others[k]
+                        if there is not None:
+                            take &= there[(h & np.uint64((1 << BITMAP) - 1)).astype(np.int64)]
                         if take.any():
-                            rows.append((text[take], np.full(int(take.sum()), n, np.int32), position[take], h[take]))
-                            lists += [literal[x : x + n].view(np.int64)[filled[x : x + n]] for x in k[take].tolist()]
+                            text, h, k = text[take], h[take], k[take]
+                            rows.append((text, np.full(len(h), n, np.int32), k - first[text], h, templates[text]))
+                            lists += [literal[x : x + n].view(np.int64)[filled[x : x + n]] for x in k.tolist()]
                 if not rows:
                     continue
-                text, n, position, h = (np.concatenate(x) for x in zip(*rows, strict=True))
+                text, n, position, h, templates = (np.concatenate(x) for x in zip(*rows, strict=True))
                 copies = {t: zlib.crc32(raw[at[t] : at[t + 1]].tobytes()) for t in np.unique(text).tolist()}
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(text)), pa.array([copies[t] for t in text.tolist()], pa.int64()), pa.array(n), pa.array(position),
                         pa.array(h.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(np.maximum(1, sizes[text] - n + 1)),
+                        pa.array(templates),
                     ],
-                    names=["id", "copy", "length", "position", "hash", "slots", "n_windows"],
+                    names=["id", "copy", "length", "position", "hash", "slots", "n_windows", "n_templates"],
                 )
 
     bounded_batches(texts.sparkSession)
@@ -236,7 +243,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Returns ``doc_id long, item_id long, n_windows long, n_found long, reparameterised boolean``: the item's windows, how
     many of them the document has in consistent alignments, and whether a placeholder holds another value there. A pair is
-    reported if half of the item's windows, or six of them, are found. Null and empty texts and items of fewer than three
+    reported if half of the item's windows, or six of them, are found; or half or six of those that can match with other
+    values, if what is found covers half of the item's words. Null and empty texts and items of fewer than three
     words have none; rows with a null id take no part; repeated rows are reported once; an empty table gives no rows;
     further columns are ignored.
     """
@@ -250,24 +258,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lengths = (WINDOW,)
     found = template_windows(docs.where("doc_id IS NOT NULL"), "doc_id", lengths, spark.sparkContext.broadcast(bitmap))
     found = found.select(F.col("id").alias("doc_id"), "copy", "position", "hash", F.col("length"), F.col("slots").alias("values")).distinct()
-    items = items.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "hash", "length", "slots", "n_windows")
+    items = items.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "hash", "length", "slots", "n_windows", "n_templates")
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     aligned = found.join(items, ["hash", "length"]).withColumn("shift", F.col("position") - F.col("item_position"))
     # no more pairs than the item has placeholders, at each of its positions
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("slots"), F.col("values")))))
     alignments = (
-        aligned.groupBy("doc_id", "copy", "item_id", "n_windows", "shift")
+        aligned.groupBy("doc_id", "copy", "item_id", "length", "n_windows", "n_templates", "shift")
         .agg(pairs.alias("pairs"), F.collect_set("item_position").alias("positions"))
         .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs"))
         .withColumn("other", F.exists("pairs", lambda p: p["slots"] != p["values"]))
     )
-    per_copy = alignments.groupBy("doc_id", "copy", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_found"), F.max("other").alias("reparameterised")
+    per_copy = alignments.groupBy("doc_id", "copy", "item_id", "length", "n_windows", "n_templates").agg(
+        F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("other").alias("reparameterised")
     )
-    enough = F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE))
+    per_copy = per_copy.withColumn("n_found", F.size("positions").cast("long"))
+    enough = lambda n: F.least(F.lit(ENOUGH), F.ceil(F.col(n) * SHARE))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("positions", lambda p: F.sequence(p, p + F.col("length") - 1)))))
+    as_template = (F.col("n_templates") > 0) & (F.col("n_found") >= enough("n_templates")) & (covered >= (F.col("n_windows") + F.col("length") - 1) * SHARE)
     return (
-        per_copy.where(F.col("n_found") >= enough)
+        per_copy.where((F.col("n_found") >= enough("n_windows")) | as_template)
         .groupBy("doc_id", "item_id")
         .agg(F.max("n_windows").alias("n_windows"), F.max("n_found").alias("n_found"), F.min("reparameterised").alias("reparameterised"))
     )

@@ -53,6 +53,32 @@ def test_slots(spark):
     assert {r["doc_id"] for r in d.contamination(docs, bench).collect()} == {1}
 
 
+def test_verbatim_whatever_the_words(spark):
+    """Windows of placeholders match as they are, and names need not look like names on both sides."""
+    items = {
+        1: "Add 3 km and 5 km and 7 km and 9 km and 11 km",
+        2: "What is 12 + 7 * 3?",
+        3: "What is the capital of France?",
+        4: "Sum 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16",
+        5: "Did Anna Bob Cleo and Dora meet Emil Fritz Gerd and Hugo",
+    }
+    texts = {k: f"we ask you 5) {t} and so on" for k, t in items.items()}
+    texts |= {10 + k: t.lower() for k, t in items.items()} | {20 + k: f"First. {t} Then" for k, t in items.items()}
+    texts |= {99: "Add 4 km and 6 km and 2 km and 8 km and 10 km", 98: "What is 5 + 6 * 2? Sum 9 8 7 6 5 4 3 2 1"}
+    docs, bench = (spark.createDataFrame(list(x.items()), f"{c} long, text string") for x, c in ((texts, "doc_id"), (items, "item_id")))
+    rows = d.contamination(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(k + n, k) for k in items for n in (0, 10, 20)}
+    assert all(r["n_found"] == r["n_windows"] and not r["reparameterised"] for r in rows)
+
+
+def test_other_values_of_an_item_rich_in_numbers(spark):
+    item = "Take 3 apples 4 pears 5 plums and tell how many fruits she has then: 1 2 3 4 5 6 7 8 9"
+    other = item.replace("3", "30").replace("4", "40").replace("5", "50")
+    docs = spark.createDataFrame([(1, other), (2, "well and tell how many fruits she has then")], "doc_id long, text string")
+    got = d.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["reparameterised"]) for r in got] == [(1, True)]
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (None, ITEM), (4, "two words"), (5, "only four words here"), (1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "so only four words here then"), (None, ITEM), (4, "w " * 200000 + ITEM + " v" * 100000), (4, "other"), (5, ITEM), (5, ITEM)], "doc_id long, text string").selectExpr("*", "1 AS item_id", "'x' AS slots")
