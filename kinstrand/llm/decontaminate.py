@@ -14,6 +14,7 @@ exact hash join then sees only those, whatever the size of either side.
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -238,6 +239,30 @@ def template_windows(texts: DataFrame, id_column: str, lengths: tuple[int, ...]
     return texts.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string")).mapInArrow(run, _FOUND)
 
 
+_SETTLED = "doc_id long, copy long, item_id long, length int, n_windows long, n_templates long, positions array<long>, other boolean"
+
+
+def consistent(windows: list[tuple[int, list[int], list[int]]]) -> tuple[list[int], bool]:
+    """Positions of an alignment's windows (position, values of the item, values of the document) that hold for each value
+    of the item the one that most windows hold there, and whether any of them is another than the item's. A window whose
+    words all agree has no values and always counts."""
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for _, slots, values in windows:
+        for slot, value in zip(slots, values, strict=True):
+            votes[slot][value] += 1
+    kept = {slot: max(n, key=lambda v: (n[v], v == slot, v)) for slot, n in votes.items()}
+    good = [w for w in windows if all(kept[slot] == value for slot, value in zip(w[1], w[2], strict=True))]
+    return sorted({w[0] for w in good}), any(w[1] != w[2] for w in good)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [consistent([(w["item_position"], w["slots"], w["values"]) for w in windows.as_py()]) for windows in batch.column("windows")]
+        keys = ["doc_id", "copy", "item_id", "length", "n_windows", "n_templates"]
+        own = [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + own, names=[*keys, "positions", "other"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Benchmark items (item_id, text) that occur in documents (doc_id, text), one row per pair.
 
@@ -262,14 +287,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     aligned = found.join(items, ["hash", "length"]).withColumn("shift", F.col("position") - F.col("item_position"))
-    # no more pairs than the item has placeholders, at each of its positions
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("slots"), F.col("values")))))
-    alignments = (
-        aligned.groupBy("doc_id", "copy", "item_id", "length", "n_windows", "n_templates", "shift")
-        .agg(pairs.alias("pairs"), F.collect_set("item_position").alias("positions"))
-        .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs"))
-        .withColumn("other", F.exists("pairs", lambda p: p["slots"] != p["values"]))
+    # no more windows than the item has, each in the kinds that it is hashed in
+    alignments = aligned.groupBy("doc_id", "copy", "item_id", "length", "n_windows", "n_templates", "shift").agg(
+        F.collect_set(F.struct("item_position", "slots", "values")).alias("windows")
     )
+    alignments = alignments.mapInArrow(_settled, _SETTLED)
     per_copy = alignments.groupBy("doc_id", "copy", "item_id", "length", "n_windows", "n_templates").agg(
         F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("other").alias("reparameterised")
     )

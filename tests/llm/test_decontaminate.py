@@ -79,6 +79,27 @@ def test_other_values_of_an_item_rich_in_numbers(spark):
     assert [(r["doc_id"], r["reparameterised"]) for r in got] == [(1, True)]
 
 
+def test_one_altered_value_costs_its_windows_only(spark):
+    words = [f"w{'abcdefghij'[k // 20]}{'abcdefghijklmnopqrst'[k % 20]}" for k in range(200)]
+    words[20] = words[150] = "1234"
+    words[60] = words[90] = "Boston"
+    item = " ".join(words)
+    near = item.replace("1234", "77", 1)
+    moved = item.replace("1234", "77").replace("Boston", "Lisbon", 1)
+    docs = spark.createDataFrame([(1, item), (2, near), (3, moved)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in d.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert (got[1]["n_windows"], got[1]["n_found"], got[1]["reparameterised"]) == (193, 193, False)
+    assert (got[2]["n_found"], got[2]["reparameterised"]) == (185, False)
+    assert (got[3]["n_found"], got[3]["reparameterised"]) == (185, True)
+
+
+def test_consistent_against_hand():
+    # the value 5 became 8 in two windows and 9 in one; the window without values agrees word by word
+    assert d.consistent([(0, [5], [8]), (1, [5, 6], [8, 6]), (2, [5], [9]), (3, [], [])]) == ([0, 1, 3], True)
+    assert d.consistent([(0, [5], [5]), (4, [5], [8])]) == ([0], False)
+    assert d.consistent([(2, [], [])]) == ([2], False)
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (None, ITEM), (4, "two words"), (5, "only four words here"), (1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "so only four words here then"), (None, ITEM), (4, "w " * 200000 + ITEM + " v" * 100000), (4, "other"), (5, ITEM), (5, ITEM)], "doc_id long, text string").selectExpr("*", "1 AS item_id", "'x' AS slots")
