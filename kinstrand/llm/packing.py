@@ -11,7 +11,6 @@ almost no padding, few enough for one task, however many rows share a document i
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,10 +27,6 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces that one shard holds on average.
 SHARD_PIECES = 4096
-#: A text with a longer run without white space goes to the general tokenizer, whose time stays near linear in it.
-LONG_RUN = 2000
-_BLANK_RUN = re.compile(r"\s{%d}" % LONG_RUN)
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -43,17 +38,18 @@ def default_vocabulary() -> str:
 
 
 class ByteBpe:
-    """Token ids of the byte-level BPE in a ``tokenizers`` file.
+    """Token ids of the byte-level BPE in a ``tokenizers`` file, just as ``encode(text, add_special_tokens=False)`` gives them.
 
-    Where the same vocabulary lies beside it as ranks, they serve texts without very long runs: the ids are equal and
-    come several times as fast. Strings that look like special tokens are ordinary text.
+    Where the same vocabulary lies beside it as ranks, they serve every text without the string of an added token: the ids
+    are equal and come several times as fast. A text with such a string goes to the general tokenizer, which gives the
+    string the added token's id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.general = Tokenizer.from_file(path)
-        self.general.encode_special_tokens = True
+        self.added = [t.content for t in self.general.get_added_tokens_decoder().values()]
         self.quick = None
         try:
             import public_tokenizers
@@ -66,17 +62,11 @@ class ByteBpe:
             pass
 
     def ids(self, text: str) -> np.ndarray:
-        if self.quick is None or _has_long_run(text):
+        if self.quick is None or any(t in text for t in self.added):
             return np.array(self.general.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.quick.encode_ordinary(text), np.uint32)
 
 
-def _has_long_run(text: str) -> bool:
-    if len(text) <= LONG_RUN:
-        return False
-    return max(map(len, text.split()), default=0) > LONG_RUN or _BLANK_RUN.search(text) is not None
-
-
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
@@ -87,8 +77,8 @@ def document_ids(text: str | None, vocabulary: str) -> np.ndarray:
     return np.append(_tokenizer(vocabulary).ids(text or ""), np.uint32(END_ID))
 
 
-def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
-    """Tokenize whole texts and cut them: full windows first, then the rest. One row per piece (``PIECES``)."""
+def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """Tokenize whole texts and cut them: full windows first, then the rest. One row per piece (``PIECES``), and ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,14 +87,15 @@ def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = document_ids(text, vocabulary).astype("<u4")
                     out += [
-                        (doc, k, min(window, len(ids) - k), zlib.crc32(ids[k : k + window].tobytes()), len(ids))
+                        (doc, k, min(window, len(ids) - k), zlib.crc32(ids[k : k + window].tobytes()), len(ids), ids[k : k + window] if with_ids else None)
                         for k in range(0, len(ids), window)
                     ]
-            names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=names)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids]
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(len(names))], names=names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 class CapacityTree:
@@ -189,31 +180,13 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
 def render_sequences(docs: DataFrame, packed: DataFrame, vocabulary: str | None = None, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
     """The ids of each packed sequence: ``sequence_id long, n_tokens long, ids array<int>``.
 
-    A sequence is padded to ``window`` unless its length is a power of two. Needs a doc_id to be unique in ``docs``.
+    A sequence is padded to ``window`` unless its length is a power of two. A piece takes its ids from any document with
+    its doc_id, place and digest, so null and repeated ids do no harm.
     """
-    vocabulary = vocabulary or default_vocabulary()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows = part.to_pydict()
-                own = []
-                for text, pieces in zip(rows["text"], rows["pieces"], strict=True):
-                    ids = document_ids(text, vocabulary)
-                    own += [(p["sequence_id"], p["offset"], ids[p["start"] : p["start"] + p["length"]].tolist()) for p in pieces]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.list_(pa.int32()))],
-                    names=["sequence_id", "offset", "part"],
-                )
-
-    wanted = packed.groupBy("doc_id").agg(F.collect_list(F.struct("sequence_id", "offset", "start", "length")).alias("pieces"))
-    bounded_batches(docs.sparkSession)
-    parts = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .join(wanted, "doc_id")
-        .select("text", "pieces")
-        .mapInArrow(run, "sequence_id long, offset long, part array<int>")
-    )
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    own = cut(docs, vocabulary or default_vocabulary(), window, True).dropDuplicates(key).select(*(F.col(c).alias(f"own {c}") for c in key), F.col("ids").alias("part"))
+    same = [F.col(c).eqNullSafe(F.col(f"own {c}")) for c in key]
+    parts = packed.select("sequence_id", "offset", *key).join(own, same).select("sequence_id", "offset", "part")
     ordered = F.array_sort(F.collect_list(F.struct("offset", "part")))
     whole = parts.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda x: x["part"])).alias("ids"))
     n = F.size("ids")

@@ -12,9 +12,7 @@ from kinstrand.llm import packing
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_vocabulary())
 
 
 def check(docs, rows, plain, window=2048):
@@ -61,7 +59,9 @@ def test_edges(spark, plain):
 
 
 def test_render(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).select("doc_id", "text")
+    more = spark.createDataFrame([(None, "no id"), (None, "none"), (1, "another text of one id"), (77777, "a "), (77777, "a ")], df.schema)
+    df = df.unionByName(more)
     packed = packing.pack_documents(df)
     rendered = {r["sequence_id"]: r for r in packing.render_sequences(df, packed).collect()}
     for r in packed.collect():
@@ -72,12 +72,17 @@ def test_render(spark, sf_dir):
         assert len(r["ids"]) == (n if n & (n - 1) == 0 else 2048)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=200))
-def test_ids_equal_the_general_tokenizer(text):
-    own = packing.ByteBpe(packing.default_vocabulary()) if not hasattr(packing, "_cached") else packing._cached
-    packing._cached = own
-    assert own.ids(text).tolist() == own.general.encode(text, add_special_tokens=False).ids
+def test_added_tokens_keep_their_ids(plain):
+    assert packing.document_ids("<|endoftext|> hi", packing.default_vocabulary()).tolist() == [50256, *plain.encode(" hi", add_special_tokens=False).ids, 1]
+
+
+LONG = st.builds(lambda s, n: s * n, st.text(min_size=1, max_size=3), st.integers(1, 3000))
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=60), st.just("<|endoftext|>"), st.just("<|endoftext|"), LONG), max_size=4).map("".join))
+def test_ids_equal_a_fresh_tokenizer(plain, text):
+    assert packing.document_ids(text, packing.default_vocabulary())[:-1].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
