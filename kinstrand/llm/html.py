@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,17 +57,120 @@ TOKENS = {
 }
 _TOKEN_OF = {w: k for k, words in enumerate(TOKENS.values()) for w in words}
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>",
-    re.S,
-)
+#: The name of an element and what follows it up to the end of its tag. A quote opens a value only after ``=`` and only if
+#: it is closed somewhere. Possessive throughout, so a tag is read once.
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_REST = re.compile(r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+")
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|data-role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_VALUE = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)""", re.I)
+_UNSEEN = re.compile(r"""display\s*+:\s*+none|aria-hidden\s*+=\s*+["']?true|class\s*+=\s*+(?:"(?:[^"]*\s)?hidden[\s"]|'(?:[^']*\s)?hidden[\s']|hidden\b)""", re.I)
+#: Character references by a number: zeros in front of it, and numbers beyond all characters.
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: A tag that the page ends in; it is no text.
-_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+
+
+def decode_references(text: str) -> str:
+    """Character references as the characters that they stand for; numbers of any length."""
+    return entities.unescape(_HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))) if "&" in text else text
+
+
+def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """The markup of a page in order: where it begins and ends, the element's name in lower case (empty for comments,
+    declarations and instructions), whether it is an end tag, and its attributes as they are written.
+
+    Every character is looked at a bounded number of times. What a page ends in before it is closed, a comment or a tag,
+    reaches to its end. After an element of ``RAW`` the next markup is what follows its end tag.
+    """
+    at, size = 0, len(source)
+    while True:
+        at = source.find("<", at)
+        if at < 0 or at + 1 >= size:
+            return
+        sign = source[at + 1]
+        if sign in "!?":
+            if source.startswith("<!--", at):
+                end = at + 5 if source.startswith(">", at + 4) else at + 6 if source.startswith("->", at + 4) else source.find("-->", at + 4) + 3
+                end = end if end > 2 else size
+            elif source.startswith("<![CDATA[", at):
+                end = source.find("]]>", at) + 3
+                end = end if end > 2 else size
+            else:
+                end = source.find(">", at) + 1 or size
+            yield at, end, "", False, ""
+            at = end
+            continue
+        closing = sign == "/"
+        name = _NAME.match(source, at + 1 + closing)
+        if name is None:
+            if closing and at + 2 < size:
+                end = source.find(">", at) + 1 or size
+                yield at, end, "", False, ""
+                at = end
+            else:
+                at += 1
+            continue
+        rest = _REST.match(source, name.end())
+        if rest.end() >= size:
+            yield at, size, "", False, ""
+            return
+        tag, end = name[0].lower(), rest.end() + 1
+        if tag in RAW and not closing and not (rest[0].endswith("/") and tag in ("svg", "math")):
+            close = _raw_end(tag).search(source, end)
+            end = source.find(">", close.start()) + 1 or size if close else size
+        yield at, end, tag, closing, rest[0]
+        at = end
+
+
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[\s/>]", re.I)
+
+
+class _Open:
+    """The open block elements, where each kind of them stands, and the inline elements open in each."""
+
+    def __init__(self, root: "Node"):
+        self.nodes, self.inline, self.counts, self.places = [root], [[]], [{}], {root.tag: [0]}
+
+    def push(self, node: "Node") -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.inline.append([])
+        self.counts.append({})
+
+    def begin(self, name: str) -> None:
+        self.inline[-1].append(name)
+        self.counts[-1][name] = self.counts[-1].get(name, 0) + 1
+
+    def end(self, name: str) -> None:
+        """Close the innermost inline element of this name and those in it, if the innermost block has one."""
+        own, counts = self.inline[-1], self.counts[-1]
+        while counts.get(name):
+            last = own.pop()
+            counts[last] -= 1
+            if last == name:
+                return
+
+    def cut(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.places[self.nodes.pop().tag].pop()
+            self.inline.pop()
+            self.counts.pop()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Close the outermost of ``tags`` inside the innermost of ``scope``, with all in it."""
+        bound, found = self.last(scope), len(self.nodes)
+        for t in tags:
+            own = self.places.get(t, ())
+            k = bisect_right(own, bound)
+            if k < len(own):
+                found = min(found, own[k])
+        self.cut(found)
 
 
 class Node:
@@ -90,111 +194,79 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, Node]] = [("#page", self.nodes[0])]
+        opened = _Open(self.nodes[0])
         pending: list[str] = []
-        anchors, at, size = 0, 0, len(source)
+        anchors, at = 0, 0
 
         def flush() -> None:
             if pending:
-                text = "".join(pending)
+                text = " ".join(decode_references("".join(pending)).split())
                 pending.clear()
-                if "&" in text:
-                    text = entities.unescape(text)
-                text = " ".join(text.split())
                 if text:
-                    node = stack[-1][1]
+                    node = opened.nodes[-1]
                     self.blocks.append((self._number[id(node)], text))
                     node.own += len(text)
 
         def text_until(end: int) -> None:
             if end > at:
-                piece = source[at:end]
-                pending.append(piece)
+                pending.append(source[at:end])
                 if anchors:
-                    stack[-1][1].linked += len(piece)
-
-        while at < size:
-            m = _TAG.search(source, at)
-            if m is None:
-                unfinished = _UNFINISHED.search(source, at)
-                end = unfinished.start() if unfinished else size
-                text_until(end)
-                break
-            text_until(m.start())
-            at = m.end()
-            name = m["name"]
-            if name is None:
+                    opened.nodes[-1].linked += end - at
+
+        for start, end, name, closing, rest in tokens(source):
+            text_until(start)
+            at = end
+            if not name:
                 continue
-            name = name.lower()
-            node = stack[-1][1]
-            if m["end"]:
-                if name == "a":
-                    anchors = max(0, anchors - 1)
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if depth and not (name in INLINE and any(t not in INLINE for t, _ in stack[depth + 1 :])):
-                    if name not in INLINE:
-                        flush()
-                        anchors = 0
-                    del stack[depth:]
+            node = opened.nodes[-1]
+            if closing:
+                if name in INLINE:
+                    if name == "a":
+                        anchors = max(0, anchors - 1)
+                    opened.end(name)
+                elif opened.places.get(name):
+                    flush()
+                    anchors = 0
+                    opened.cut(opened.places[name][-1])
                 elif name == "p":
                     flush()
                 continue
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
-                if not m["rest"].endswith("/") or name not in ("svg", "math"):
-                    end = close.start() if close else size
-                    at = source.find(">", end) + 1 if close else size
-                    at = at or size
                 if name in ("select", "textarea"):
                     node.inputs += 1
-                continue
-            if name == "br":
+            elif name == "br":
                 pending.append(" ")
-                continue
-            if name in VOID:
-                if name == "input":
-                    node.inputs += 1
+            elif name in VOID:
+                node.inputs += name == "input"
                 if name == "hr":
                     flush()
-                continue
-            if name in INLINE:
+            elif name in INLINE:
                 if name == "a":
                     node.links += 1
                     anchors += 1
                 node.tags += 1
-                if not m["rest"].endswith("/"):
-                    stack.append((name, node))
-                continue
-            flush()
-            anchors = 0
-            if name in CLOSES_P:
-                self._close(stack, ("p",), ("article", "aside", "button", "div", "section", "td", "th", "li", "blockquote"))
-            elif name in CLOSES:
-                self._close(stack, CLOSES[name], SCOPES[name])
-            if name == "button":
-                stack[-1][1].inputs += 1
-            parent = stack[-1][1]
-            own = Node(name, m["rest"], parent)
-            own.place = parent.kids
-            parent.kids += 1
-            own.hidden = bool(own.rest) and _HIDDEN.search(own.rest) is not None
-            self._number[id(own)] = len(self.nodes)
-            self.nodes.append(own)
-            if not m["rest"].endswith("/"):
-                stack.append((name, own))
+                if not rest.endswith("/"):
+                    opened.begin(name)
+            else:
+                flush()
+                anchors = 0
+                if name in CLOSES_P:
+                    opened.close(("p",), ("article", "aside", "button", "div", "section", "td", "th", "li", "blockquote"))
+                elif name in CLOSES:
+                    opened.close(CLOSES[name], SCOPES[name])
+                parent = opened.nodes[-1]
+                parent.inputs += name == "button"
+                own = Node(name, rest, parent)
+                own.place = parent.kids
+                parent.kids += 1
+                own.hidden = bool(rest) and (_UNSEEN.search(rest) is not None or _HIDDEN.search(_VALUE.sub("", rest)) is not None)
+                self._number[id(own)] = len(self.nodes)
+                self.nodes.append(own)
+                if not rest.endswith("/"):
+                    opened.push(own)
+        text_until(len(source))
         flush()
 
-    @staticmethod
-    def _close(stack: list[tuple[str, Node]], tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        found = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                found = k
-            elif stack[k][0] in scope:
-                break
-        if found:
-            del stack[found:]
-
     def features(self) -> np.ndarray:
         """A row for each node."""
         nodes, number = self.nodes, self._number

@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 
@@ -66,6 +67,34 @@ def test_blocks():
     assert [t for _, t in page.blocks] == ["a & b c", "one two", "three <3", "tail", "i", "j", "k < l"]
 
 
+def test_attribute_values_have_no_bound():
+    for n in (3000, 5000, 1 << 20):
+        page = html.Page(f'<div data-x="{"A" * n} > leak me">Inner</div><p title=\'{"b>" * n}\'>two')
+        assert [t for _, t in page.blocks] == ["Inner", "two"]
+    assert [t for _, t in html.Page('<p title="it"s">one</p><p x=">two</p><p>three').blocks] == ["one", "two", "three"]
+    assert [t for _, t in html.Page("<!-->a<!--->b<!-- <p>x</p> -->c</>d</ x>e<?x y?>f").blocks] == ["abcdef"]
+    assert html.decode_references("&#" + "0" * 9000 + "65;&#x0041;&#" + "9" * 9000 + "; &amp;&#65") == "AA\ufffd &A"
+
+
+def test_time_is_linear_in_the_page():
+    """Pages of a megabyte of what a scanner may read again and again."""
+    for unit in ("<a ", "<b>", "<h1>", "<p><x>", "</i>", "<svg/>", "<script>", "<p x='", '<p x="\'', "<", "&#", "<li>", "<!--", "<p><button><x>", "=\"", "<td><p><h1>", "<title"):
+        source = "<p>" + unit * ((1 << 20) // len(unit)) + "<p>"
+        began = time.perf_counter()
+        html.Page(source)
+        assert time.perf_counter() - began < 12, unit
+    began = time.perf_counter()
+    html.Page("<b>" * 150_000 + "<div>" + "</b>" * 100_000)
+    html.Page("<p>" + "<x>" * 150_000 + "</y>" * 100_000)
+    assert time.perf_counter() - began < 12
+
+
+def test_hidden_nodes():
+    hidden = lambda tag: html.Page(tag + "x").nodes[1].hidden
+    assert all(map(hidden, ("<div hidden>", "<p style='display: none'>", '<p aria-hidden="true">', "<p class='a hidden b'>", "<p id=k hidden class=c>")))
+    assert not any(map(hidden, ('<p title="the hidden truth">', "<p class=hiddenness>", "<p data-hidden=1>")))
+
+
 def test_edges(spark):
     long = "<html><body><nav><a href=/>x</a></nav><article>" + "<p>some words of text, and more.</p>" * 30000 + "</article></body></html>"
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain words only, nothing else."), (None, "u", "<article><p>Text here, of some length.</p></article>"), (4, "u", long), (4, "u", long), (5, "u", "<" * 5000), (6, "u", "<div class='" * 300), (7, "u", "<p" + " a=\"b" * 2000)]
