@@ -12,9 +12,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one of a session whose executors are
+    in the driver (tests); on a cluster there is no folder that all could share, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kinstrand-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -23,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, so that later stages survive lost executors.
 
-    The table is removed when the driver's Python ends.
+    The table is removed by ``discard_written``, at the latest when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kinstrand-{label}-{uuid.uuid4().hex}"
@@ -32,10 +35,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_written() -> None:
-    """Delete every table that ``materialize`` wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> int:
+    """How many tables this process has written and not removed."""
+    return len(_written)
+
+
+def discard_written(first: int = 0, last: int | None = None) -> None:
+    """Delete the tables that ``materialize`` wrote in this process, in order from the ``first`` to before the ``last``."""
+    for item in _written[first:last]:
+        _written.remove(item)
+        spark, path = item
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
