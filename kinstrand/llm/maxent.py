@@ -1,17 +1,20 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-The model factors the probability of a word through classes. Words are in ``GROUPS`` groups of ``GROUPS`` classes; a softmax
-over groups and one over the classes of the right group see hashed features of the two words before: the last one, the
-last two together, the one before the last (a skip), and a constant. The most frequent words are classes of their own; the
-others share a class by their last letters, in which each has the share (c + 1) / Z of its count c, and all unseen words
-together the share 1 / Z. So the whole is a distribution over the known words and, in each shared class, an unseen one.
-
-Training: counts of all tokens by one aggregation; weights by distributed gradient updates. In each round every task goes
-over its documents of that round in batches, with steps scaled by past gradients, and the tasks' changes are averaged by
-their numbers of tokens. Each training document is used in one round.
-
-Scoring: sparse numpy batches. Counts of the most frequent words travel with the model, in a table of fixed size; those of
-the others are joined by token, so nothing that grows with the corpus is broadcast or collected.
+The probability of a word is factored through classes, down to the word: the most frequent words and the rare classes are
+the leaves of a tree with ``FAN`` branches a node, and a softmax over the branches of each node on the way sees hashed
+features of the words before: the last one, the last two together, the one before the last (a skip), and the classes of
+both. The tree is learned from contexts: each leaf has a sketch of its neighbours' counts over the whole corpus, and
+halves along the main direction of these sketches make it. A word that is not among the most frequent belongs to the rare
+class of its last letters, in which each has the share (c + 1) / Z of its count c, and all unseen words together the share
+1 / Z. So the whole is a distribution over the known words and, in each rare class, an unseen one.
+
+Training: counts of all tokens by one aggregation, sketches by a second; weights by distributed gradient updates. Documents
+are dealt by a hash to trainers, each of which goes over its documents in batches with steps scaled by the past gradients
+of a row. The trainers' changes of a row are averaged, each weighted by its share of that row's gradients, by an
+aggregation over rows: what only one of them saw keeps its full change. Files and tasks have no say in the result.
+
+The number of rows and of trainers grows with the corpus. Scoring: sparse numpy batches. Counts of the most frequent words
+travel with the model; those of the others are joined by token, so nothing that grows without bound is broadcast.
 """
 
 from __future__ import annotations
@@ -29,20 +32,23 @@ from kinstrand.llm.arrow_text import bounded_batches, flat, slices
 from kinstrand.llm.langid import fold_number
 from kinstrand.plans.storage import materialize
 
-#: Words whose counts the model carries.
-HEAD = 65_536
-GROUPS = 16
-#: Classes of one word each; the rest are shared.
-SINGLES = 112
-CLASSES = GROUPS * GROUPS
-#: Rows of feature weights: 0 is the constant.
-ROWS = 4096
-ROUNDS = 2
-BATCH = 16_384
-RATE = 0.15
-#: Characters of text for one training task.
-TRAINER_CHARS = 32_000_000
-TRAINERS = 6
+FAN = 16
+#: Classes of the words that have no leaf of their own, by their last letters; words that have one.
+RARE = 1024
+HEAD = FAN**4 - RARE
+#: Numbers of a sketch.
+SKETCH = 32
+FEATURES = 4
+#: Upper levels, whose nodes see all features; the lower ones see the first of them.
+UPPER, LOWER_FEATURES = 2, 2
+#: log2 of the least and the most rows of feature weights, and tokens for each row.
+LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 18, 21, 2
+BATCH = 8192
+RATE = 0.6
+#: Characters of text for one trainer, trainers at least, and sorted shares of one trainer's documents.
+TRAINER_CHARS, TRAINERS, SHARES = 160_000_000, 6, 12
+#: Rows of weights or leaves in a block, and blocks that one task adds up.
+BLOCK_ROWS, ADDED = 1024, 64
 #: Bytes whose tokens are found at once; their numbers take some dozen times that.
 BLOCK = 1 << 18
 
@@ -77,7 +83,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, shared class and position of each word of a block that begins and ends between words."""
+    """Hash, rare class and position of each word of a block that begins and ends between words."""
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
@@ -88,11 +94,11 @@ def _block_tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M2)
     last = value[end - 1]
     before = np.where(end - start > 1, value[np.maximum(end - 2, 0)], np.uint64(0))
-    return h, SINGLES + ((_mix(last * np.uint64(512) + before) >> np.uint64(20)) % np.uint64(CLASSES - SINGLES)).astype(np.int64), start
+    return h, ((_mix(last * np.uint64(512) + before) >> np.uint64(20)) % np.uint64(RARE)).astype(np.int64), start
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and shared classes of the tokens of all texts (each one's words, then ``END``), and where each text begins."""
+    """Hashes and rare classes of the tokens of all texts (each one's words, then ``END``), and where each text begins."""
     plain = pc.fill_null(texts.cast(pa.large_binary()), b"")
     raw, at = flat(pc.binary_join_element_wise(pa.scalar(b"\n", pa.large_binary()), plain, pa.scalar(b"", pa.large_binary())))
     pieces, k = [], 0
@@ -112,21 +118,26 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.ones(len(h), bool)
     word[closing] = False
     h[word], h[closing] = words, END
-    cls[word], cls[closing] = shared, SINGLES
+    cls[word], cls[closing] = shared, 0
     return h, cls, np.concatenate([[0], closing[:-1] + 1]) if n else np.zeros(0, np.int64)
 
 
-def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of weights (uint16) of the features of each token's context."""
-    one = np.concatenate([[END], h[:-1]])
-    two = np.concatenate([[END, END], h[:-2]])[: len(h)]
-    two[first] = END
-    row = lambda x: ((x >> np.uint64(40)) % np.uint64(ROWS - 1) + np.uint64(1)).astype(np.uint16)
-    out = np.zeros((len(h), 4), np.uint16)
-    out[:, 1] = row(one * _M1)
-    out[:, 2] = row(_mix(one * _M2 + two))
-    out[:, 3] = row(two * _M2 + _M1)
-    return out
+def _before(x: np.ndarray, first: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """What stands one and two places before each token, ``edge`` beyond where its text begins."""
+    edge = x.dtype.type(edge)
+    one = np.concatenate([[edge], x[:-1]])
+    two = np.concatenate([[edge, edge], x[:-2]])[: len(x)]
+    one[first] = edge
+    two[first] = edge
+    two[np.minimum(first + 1, len(x) - 1)] = edge
+    return one, two
+
+
+def features(h: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hashes of the features of each token's context: ``FEATURES`` columns."""
+    one, two = _before(h, first, int(END))
+    near, far = _before((code >> 8).astype(np.uint64), first, 999)
+    return np.stack([one * _M1, _mix(one * _M2 + two), two * _M2 + _M1, (near * np.uint64(1009) + far + np.uint64(7)) * _M2], 1)
 
 
 @dataclass
@@ -135,7 +146,6 @@ class Head:
 
     hashes: np.ndarray
     counts: np.ndarray
-    rank: np.ndarray
     tables: tuple[np.ndarray, np.ndarray]
 
     MASK = (1 << 20) - 1
@@ -152,11 +162,11 @@ class Head:
             kept[left[first]] = True
             tables.append(table)
             left = np.delete(left, first)
-        number = np.cumsum(kept) - 1
+        number = np.cumsum(kept) - 1  # in order of falling counts, without those that both tables have no room for
         tables = tuple(np.where(t >= 0, number[np.maximum(t, 0)] if len(hashes) else 0, 0).astype(np.int32) for t in tables)
         if not kept.any():
-            return cls(np.zeros(1, np.uint64), np.zeros(1), np.full(1, CLASSES), tables)
-        return cls(hashes[kept], counts[kept].astype(np.float64), np.flatnonzero(kept), tables)
+            return cls(np.zeros(1, np.uint64), np.zeros(1), tables)
+        return cls(hashes[kept], counts[kept].astype(np.float64), tables)
 
     @classmethod
     def _slot(cls, h: np.ndarray, k: int) -> np.ndarray:
@@ -171,19 +181,62 @@ class Head:
         return at
 
 
+def class_tree(sketches: np.ndarray) -> tuple[np.ndarray, int]:
+    """A code for each leaf, its path in base ``FAN``, and the number of digits: halves along the main direction of the
+    sketches (a row a leaf), so that leaves with like neighbours share the beginning of their paths."""
+    n = len(sketches)
+    depth = max(1, int(np.ceil(np.log(max(2, n)) / np.log(FAN) - 1e-9)))
+    code, todo = np.zeros(n, np.int64), [(np.arange(n), 4 * depth - 1)]
+    start = np.random.default_rng(3).normal(size=sketches.shape[1])
+    while todo:
+        rows, bit = todo.pop()
+        if bit < 0 or len(rows) < 2:
+            continue
+        x = sketches[rows]
+        x = x - x.mean(0)
+        along = start
+        for _ in range(8):
+            along = x.T @ (x @ along)
+            size = np.sqrt(along @ along)
+            if size < 1e-12:
+                along = start
+                break
+            along = along / size
+        order = rows[np.argsort(x @ along, kind="stable")]
+        half = -(-len(rows) // 2)
+        code[order[half:]] += 1 << bit
+        todo += [(order[:half], bit - 1), (order[half:], bit - 1)]
+    return code, depth
+
+
 @dataclass
 class Model:
+    """``code``: paths of the rare classes and then of the head's words; ``bias``: log of the shares of each node's
+    branches; ``mass``: sum of c + 1 over the words of each rare class, and 1 for unseen ones."""
+
     head: Head
     total: int
     distinct: int
-    #: Sum of c + 1 over the words of each shared class, and 1 for unseen ones.
     mass: np.ndarray
-    upper: np.ndarray
-    lower: np.ndarray
-
-    def classes(self, found: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        rank = np.where(found >= 0, self.head.rank[np.maximum(found, 0)], CLASSES)
-        return np.where(rank < SINGLES, rank, shared)
+    code: np.ndarray
+    depth: int
+    bias: np.ndarray
+    weights: np.ndarray
+    rows: int
+
+    def codes(self, found: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The path of each token, whose number in the head (or -1) and rare class are given."""
+        return self.code[np.where(found >= 0, found + RARE, rare)]
+
+    def levels(self, f: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each node on the way: the rows of its features, the node, and the branch taken."""
+        rows, base = np.uint64(self.rows), 0
+        for level in range(self.depth):
+            node = code >> (4 * (self.depth - level))
+            branch = (code >> (4 * (self.depth - level - 1))) & (FAN - 1)
+            mixed = (f if level < UPPER else f[:, :LOWER_FEATURES]) ^ ((node + base + 1).astype(np.uint64) * _M1)[:, None]
+            yield (((mixed ^ (mixed >> _S)) * _M2 >> np.uint64(32)) % rows).astype(np.int32), node + base, branch
+            base += FAN**level
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -193,21 +246,24 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return s
 
 
-def _sums(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        out = out + weights[rows[:, k]]
-    return out
-
-
-def class_log10(model: Model, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each token's class."""
-    out = np.empty(len(cls))
-    for k in range(0, len(cls), BATCH):
-        rows, group, member = f[k : k + BATCH], cls[k : k + BATCH] // GROUPS, cls[k : k + BATCH] % GROUPS
-        i = np.arange(len(group))
-        p = _softmax(_sums(model.upper, rows))[i, group] * _softmax(_sums(model.lower, rows.astype(np.int32) * GROUPS + group[:, None]))[i, member]
-        out[k : k + BATCH] = np.log10(np.maximum(p, 1e-30))
+def _branches(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Probabilities of the branches of each node."""
+    out = bias[node]
+    for k in range(rows.shape[1]):
+        out += weights[rows[:, k]]
+    return _softmax(out)
+
+
+def path_log10(model: Model, f: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token's path."""
+    out = np.zeros(len(code))
+    if model.weights.dtype != np.float32:
+        model.weights = model.weights.astype(np.float32)
+    for k in range(0, len(code), BATCH):
+        part = code[k : k + BATCH]
+        for rows, node, branch in model.levels(f[k : k + BATCH], part):
+            p = _branches(model.bias, model.weights, rows, node)[np.arange(len(part)), branch]
+            out[k : k + BATCH] += np.log10(np.maximum(p, 1e-30))
     return out
 
 
@@ -216,28 +272,28 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.weights = [model.upper.copy(), model.lower.copy()]
-        self.past = [np.full_like(w, 1e-3) for w in self.weights]
-        self.n = 0
-
-    def batch(self, f: np.ndarray, cls: np.ndarray) -> None:
-        group, member = cls // GROUPS, cls % GROUPS
-        self.n += len(cls)
-        self._step(0, f, group)
-        self._step(1, (f.astype(np.int32) * GROUPS + group[:, None]).astype(np.uint16), member)
-
-    def _step(self, level: int, rows: np.ndarray, target: np.ndarray) -> None:
-        g = _softmax(_sums(self.weights[level], rows))
-        g[np.arange(len(g)), target] -= 1
-        every = rows.T.ravel()
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        gradient = np.add.reduceat(g[order % len(g)], at, axis=0)
-        own = ordered[at]
-        past = self.past[level][own] + gradient * gradient
-        self.past[level][own] = past
-        self.weights[level][own] -= RATE * gradient / np.sqrt(past)
+        self.weights = np.zeros((model.rows, FAN), np.float32)
+        self.past = np.zeros(model.rows, np.float32)
+
+    def batch(self, f: np.ndarray, code: np.ndarray) -> None:
+        for rows, node, branch in self.model.levels(f, code):
+            g = _branches(self.model.bias, self.weights, rows, node)
+            g[np.arange(len(g)), branch] -= 1
+            every = rows.T.ravel()
+            order = np.argsort(every)
+            ordered = every[order]
+            at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            gradient = np.add.reduceat(g[order % len(g)], at, axis=0)
+            own = ordered[at]
+            past = self.past[own] + (gradient * gradient).sum(1)
+            self.past[own] = past
+            self.weights[own] -= gradient * (RATE / np.sqrt(past + 1e-3))[:, None]
+
+    def text(self, h: np.ndarray, rare: np.ndarray, first: np.ndarray) -> None:
+        code = self.model.codes(self.model.head.find(h), rare)
+        f = features(h, first, code)
+        for k in range(0, len(code), BATCH):
+            self.batch(f[k : k + BATCH], code[k : k + BATCH])
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -253,63 +309,142 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "token long, class int, n long").groupBy("token").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
 
-def _trained(train: DataFrame, model: Model, trainers: int) -> Model:
-    """One round of updates on ``train``, averaged over ``trainers`` tasks."""
-    shared = train.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    blocks = 32
+_SUMS = "block int, member int, weight binary, value binary"
+
+
+def _added(parts: DataFrame, add, members: int) -> DataFrame:
+    """Blocks (``_SUMS``) added up over their members by ``add``, ``ADDED`` at a time, in so many steps as that takes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("member")
+        weight, value = add(group.column("weight").to_pylist(), group.column("value").to_pylist())
+        member = group.column("member")[0].as_py() // ADDED
+        return pa.table({"block": group.column("block")[:1], "member": pa.array([member], pa.int32()), "weight": pa.array([weight], pa.binary()), "value": pa.array([value], pa.binary())})
+
+    while True:
+        parts = parts.groupBy("block", F.floor(F.col("member") / ADDED)).applyInArrow(run, _SUMS)
+        members = -(-members // ADDED)
+        if members <= 1:
+            return parts
+
+
+def _sketches(train: DataFrame, head: Head) -> np.ndarray:
+    """For each leaf signed counts of its neighbours, by a hash of them into ``SKETCH`` numbers; whole numbers, so that their
+    sums do not depend on an order."""
+    n = RARE + len(head.hashes)
+    shared = train.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        trainer = Trainer(model)
+        from pyspark import TaskContext
+
+        out = np.zeros(n * SKETCH, np.int32)
         for batch in batches:
             for part in slices(batch, "text"):
-                h, own, first = tokens(part.column("text"))
-                f, cls = features(h, first), model.classes(model.head.find(h), own)
-                for k in range(0, len(cls), BATCH):
-                    trainer.batch(f[k : k + BATCH], cls[k : k + BATCH])
-        if trainer.n:
-            change = np.concatenate([(a - b).reshape(-1, GROUPS) for a, b in zip(trainer.weights, (model.upper, model.lower), strict=True)])
-            parts = [x.astype(np.float16).tobytes() for x in np.array_split(change, blocks)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([float(trainer.n)] * blocks), pa.array(parts)], names=["block", "weight", "change"])
-
-    def average(group: pa.Table) -> pa.Table:
-        weight = group.column("weight").to_numpy()
-        total = sum(w * np.frombuffer(x.as_py(), np.float16).astype(np.float64) for w, x in zip(weight, group.column("change"), strict=True))
-        return pa.table({"block": group.column("block")[:1], "change": pa.array([(total / weight.sum()).astype(np.float32).tobytes()])})
-
-    changes = train.coalesce(trainers).mapInArrow(run, "block int, weight double, change binary")
-    merged = changes.groupBy("block").applyInArrow(average, "block int, change binary").toArrow().sort_by("block")
-    if not len(merged):
-        return model
-    change = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in merged.column("change")]).reshape(-1, GROUPS)
-    upper, lower = change[:ROWS], change[ROWS:]
-    return Model(model.head, model.total, model.distinct, model.mass, model.upper + upper, model.lower + lower)
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+                h, rare, first = tokens(part.column("text"))
+                found = shared.value.find(h)
+                at = np.where(found >= 0, found + RARE, rare) * SKETCH
+                one, _ = _before(h, first, int(END))
+                after = np.concatenate([h[1:], [END]]) if len(h) else h
+                after[first[1:] - 1] = END
+                for k, near in enumerate((one, after)):
+                    z = _mix(near + np.uint64(k + 1))
+                    sign = (z >> np.uint64(20)) & np.uint64(1) == 1
+                    at_z = at + (z % np.uint64(SKETCH)).astype(np.int64)
+                    for up, own in ((1, sign), (-1, ~sign)):
+                        key, count = np.unique(at_z[own], return_counts=True)
+                        out[key] += (up * count).astype(np.int32)
+        blocks = [out[k : k + BLOCK_ROWS * SKETCH].astype(np.int64).tobytes() for k in range(0, len(out), BLOCK_ROWS * SKETCH)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(blocks)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int32()), pa.array([b""] * len(blocks), pa.binary()), pa.array(blocks, pa.binary())],
+            names=["block", "member", "weight", "value"],
+        )
+
+    def add(_: list[bytes], values: list[bytes]) -> tuple[bytes, bytes]:
+        return b"", sum(np.frombuffer(v, np.int64) for v in values).tobytes()
+
+    found = _added(train.mapInArrow(run, _SUMS), add, train.rdd.getNumPartitions()).toArrow().sort_by("block")  # of fixed size
+    if not len(found):
+        return np.zeros((n, SKETCH))
+    total = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in found.column("value")]).reshape(-1, SKETCH).astype(np.float64)
+    return total / np.maximum(1, np.sqrt((total * total).sum(1, keepdims=True)))
+
+
+def _packed(change: np.ndarray) -> bytes:
+    """Changes of rows as whole numbers up to 127 and their unit."""
+    unit = (np.abs(change).max(1) / 127).astype(np.float32)
+    return unit.tobytes() + np.rint(change / np.maximum(unit, 1e-30)[:, None]).astype(np.int8).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // (FAN + 4)
+    return np.frombuffer(raw, np.int8, offset=4 * n).reshape(n, FAN) * np.frombuffer(raw, np.float32, n)[:, None]
+
+
+def _trained(texts: DataFrame, model: Model, trainers: int) -> np.ndarray:
+    """The weights after the updates of ``trainers`` trainers on ``texts`` (doc_id, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # of fixed size, its weights still one row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        trainer = Trainer(shared.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                trainer.text(*tokens(part.column("text")))
+        at = range(0, len(trainer.past), BLOCK_ROWS)
+        for k in at:
+            past = trainer.past[k : k + BLOCK_ROWS]
+            if past.any():
+                columns = [pa.array([k // BLOCK_ROWS], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([past.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([_packed(trainer.weights[k : k + BLOCK_ROWS])], pa.binary())], names=["block", "member", "weight", "value"])
+
+    def add(weights: list[bytes], values: list[bytes]) -> tuple[bytes, bytes]:
+        past, change = np.zeros(BLOCK_ROWS), np.zeros((BLOCK_ROWS, FAN))
+        for w, v in zip(weights, values, strict=True):
+            own = np.frombuffer(w, np.float32)
+            past += own
+            change += _unpacked(v) * own[:, None]
+        return past.astype(np.float32).tobytes(), _packed(change / np.maximum(past, 1e-30)[:, None])
+
+    # the same documents in the same order for every trainer, however they are stored
+    dealt = texts.withColumn("key", F.xxhash64("doc_id", "text")).repartition(trainers * SHARES, "key").sortWithinPartitions("key", "doc_id").coalesce(trainers)
+    merged = _added(dealt.select("text").mapInArrow(run, _SUMS), add, trainers).toArrow()  # of fixed size
+    out = np.zeros((model.rows, FAN), np.float16)
+    for block, value in zip(merged.column("block").to_pylist(), merged.column("value").to_pylist(), strict=True):
+        out[block * BLOCK_ROWS : (block + 1) * BLOCK_ROWS] = _unpacked(value)
+    return out
+
+
+def _bias(code: np.ndarray, depth: int, mass: np.ndarray) -> np.ndarray:
+    """Logs of the shares of the branches of every node, level by level."""
+    levels = []
+    for level in range(depth):
+        total = np.bincount(code >> (4 * (depth - level - 1)), mass, minlength=FAN ** (level + 1)).reshape(-1, FAN)
+        with np.errstate(divide="ignore"):
+            levels.append(np.maximum(-30, np.log(total / np.maximum(total.sum(1, keepdims=True), 1e-9))))
+    return np.concatenate(levels).astype(np.float32)
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts of ``docs`` (doc_id, text), and the stored counts of all tokens."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counts = materialize(count_tokens(texts.select("text")), "token-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("n"), "token").limit(HEAD).select("token", "n").toArrow()
     head = Head.of(top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy())
-    single = [int(x) for x in head.hashes[head.rank < SINGLES].view(np.int64)] or [0]
-    mass, seen = np.ones(CLASSES), np.ones(CLASSES)
-    rest = counts.where(~F.col("token").isin(single)).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row per class
-    for r in rest:
+    mass = np.ones(RARE)
+    own = F.broadcast(spark.createDataFrame(pa.table({"token": pa.array(head.hashes.view(np.int64))})))  # at most HEAD numbers
+    for r in counts.join(own, "token", "left_anti").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row per class
         mass[r["class"]] += r["n"] + r["v"]
-        seen[r["class"]] += r["n"]
-    seen[head.rank[head.rank < SINGLES]] += head.counts[head.rank < SINGLES]
-    upper, lower = np.zeros((ROWS, GROUPS), np.float32), np.zeros((ROWS * GROUPS, GROUPS), np.float32)
-    grouped = seen.reshape(GROUPS, GROUPS)
-    upper[0] = np.log(grouped.sum(1) / grouped.sum())
-    lower[:GROUPS] = np.log(grouped / grouped.sum(1, keepdims=True))
-    model = Model(head, int(sums["n"] or 0), int(sums["v"]), mass, upper, lower)
+    code, depth = class_tree(_sketches(texts.select("text"), head))
+    bias = _bias(code, depth, np.concatenate([mass, head.counts]))
+    total = int(sums["n"] or 0)
+    bits = min(MOST_BITS, max(LEAST_BITS, (total // TOKENS_A_ROW).bit_length()))
+    model = Model(head, total, int(sums["v"]), mass, code, depth, bias, np.zeros((1, FAN), np.float16), 1 << bits)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    trainers = max(TRAINERS, int(chars // TRAINER_CHARS // rounds))
-    for k in range(rounds):
-        model = _trained(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k).select("text"), model, trainers)
+    model.weights = _trained(texts, model, max(TRAINERS, -(-int(chars) // TRAINER_CHARS)))
     return model, counts
 
 
@@ -330,9 +465,9 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 if not len(first):
                     continue
                 found = model.head.find(h)
-                cls, known = model.classes(found, own), found >= 0
+                code, known = model.codes(found, own), found >= 0
                 value = np.where(known, more[np.maximum(found, 0)], 0.0)
-                score = class_log10(model, features(h, first), cls) + np.where(cls >= SINGLES, value - mass[cls], 0.0)
+                score = path_log10(model, features(h, first, code), code) - np.where(known, 0.0, mass[own])
                 size = np.diff(np.concatenate([first, [len(h)]]))
                 rare = np.concatenate([[0], np.cumsum(~known)])[np.concatenate([first, [len(h)]])]
                 yield pa.RecordBatch.from_arrays(
