@@ -10,8 +10,9 @@ class of its last letters, in which each has the share (c + 1) / Z of its count
 
 Training: counts of all tokens by one aggregation, sketches by a second; weights by distributed gradient updates. Documents
 are dealt by a hash to trainers, each of which goes over its documents in batches with steps scaled by the past gradients
-of a row. The trainers' changes of a row are averaged, each weighted by its share of that row's gradients, by an
-aggregation over rows: what only one of them saw keeps its full change. Files and tasks have no say in the result.
+of a row. The trainers' changes of a row are averaged, each weighted by its share of that row's gradients, and lengthened
+as long as the row is young: what only one of them saw keeps its full change. They are added up in a tree of tasks. Files
+and tasks have no say in the result.
 
 The number of rows and of trainers grows with the corpus. Scoring: sparse numpy batches. Counts of the most frequent words
 travel with the model; those of the others are joined by token, so nothing that grows without bound is broadcast.
@@ -47,6 +48,8 @@ BATCH = 8192
 RATE = 0.6
 #: Characters of text for one trainer, trainers at least, and sorted shares of one trainer's documents.
 TRAINER_CHARS, TRAINERS, SHARES = 160_000_000, 6, 12
+#: Sum of squared gradients of a row in a trainer up to which the trainers' changes largely add up.
+YOUNG = 10.0
 #: Rows of weights or leaves in a block, and blocks that one task adds up.
 BLOCK_ROWS, ADDED = 1024, 64
 #: Bytes whose tokens are found at once; their numbers take some dozen times that.
@@ -395,23 +398,27 @@ def _trained(texts: DataFrame, model: Model, trainers: int) -> np.ndarray:
         for k in at:
             past = trainer.past[k : k + BLOCK_ROWS]
             if past.any():
-                columns = [pa.array([k // BLOCK_ROWS], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([past.tobytes()], pa.binary())]
+                columns = [pa.array([k // BLOCK_ROWS], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.stack([past, past**1.5]).tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([_packed(trainer.weights[k : k + BLOCK_ROWS])], pa.binary())], names=["block", "member", "weight", "value"])
 
     def add(weights: list[bytes], values: list[bytes]) -> tuple[bytes, bytes]:
-        past, change = np.zeros(BLOCK_ROWS), np.zeros((BLOCK_ROWS, FAN))
+        sums, change = np.zeros((2, BLOCK_ROWS)), np.zeros((BLOCK_ROWS, FAN))
         for w, v in zip(weights, values, strict=True):
-            own = np.frombuffer(w, np.float32)
-            past += own
-            change += _unpacked(v) * own[:, None]
-        return past.astype(np.float32).tobytes(), _packed(change / np.maximum(past, 1e-30)[:, None])
+            own = np.frombuffer(w, np.float32).reshape(2, -1)
+            sums += own
+            change += _unpacked(v) * own[0][:, None]
+        return sums.astype(np.float32).tobytes(), _packed(change / np.maximum(sums[0], 1e-30)[:, None])
 
     # the same documents in the same order for every trainer, however they are stored
     dealt = texts.withColumn("key", F.xxhash64("doc_id", "text")).repartition(trainers * SHARES, "key").sortWithinPartitions("key", "doc_id").coalesce(trainers)
     merged = _added(dealt.select("text").mapInArrow(run, _SUMS), add, trainers).toArrow()  # of fixed size
     out = np.zeros((model.rows, FAN), np.float16)
-    for block, value in zip(merged.column("block").to_pylist(), merged.column("value").to_pylist(), strict=True):
-        out[block * BLOCK_ROWS : (block + 1) * BLOCK_ROWS] = _unpacked(value)
+    for block, sums, value in zip(*(merged.column(c).to_pylist() for c in ("block", "weight", "value")), strict=True):
+        past, more = np.frombuffer(sums, np.float32).reshape(2, -1)
+        # steps grow with the root of what a row has seen; one trainer would have seen all of it. A settled row needs no more
+        longer = np.maximum(1, past**1.5 / np.maximum(more, 1e-30))
+        longer = 1 + (longer - 1) * YOUNG / (YOUNG + past / longer**2)
+        out[block * BLOCK_ROWS : (block + 1) * BLOCK_ROWS] = _unpacked(value) * longer[:, None]
     return out
 
 
