@@ -47,7 +47,7 @@ LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 18, 21, 2
 BATCH = 8192
 RATE = 0.6
 #: Characters of text for one trainer, trainers at least, and sorted shares of one trainer's documents.
-TRAINER_CHARS, TRAINERS, SHARES = 160_000_000, 6, 12
+TRAINER_CHARS, TRAINERS, SHARES = 160_000_000, 4, 12
 #: Sum of squared gradients of a row in a trainer up to which the trainers' changes largely add up.
 YOUNG = 10.0
 #: Rows of weights or leaves in a block, and blocks that one task adds up.

@@ -57,7 +57,7 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r["text"] for r in pii.replace_personal_data(df).collect()]
     assert len(set(got)) == len(names)
-    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pii, "HOT_MENTIONS", 0)
     assert sorted(got) == sorted(r["text"] for r in pii.replace_personal_data(df).collect())
 
 
@@ -79,8 +79,9 @@ def test_documents(spark, sf_dir):
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (None, "mail a.b@c.org now"), (None, "mail a.b@c.org now"), (3, "1" * 50000), (4, "x a.b@c.org " * 3000), (4, "no @ sign")]
-    df = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], "doc_id long, text string, n_replaced int, _text string")
-    got = pii.replace_personal_data(df.drop("_text")).collect()
+    df = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], "doc_id long, text string, n_replaced int, parts string")
+    got = pii.replace_personal_data(df).collect()
+    assert {r["parts"] for r in got} == {"z"} and pii.replace_personal_data(df).columns == ["doc_id", "text", "parts", "n_replaced"]
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -91,3 +92,67 @@ def test_edges(spark):
     assert pii.replace_personal_data(df.limit(0)).count() == 0
     plan = pii.replace_personal_data(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_people_are_one_entity_in_a_document(spark):
+    text = "Mr. John Smith met Mr. Smith. John Smith left. Dr. John Smith stayed. Mrs. Ann Lee and Ann Lee. John slept; Smith's dog and Lee did not. Mrs. Smith came, smith and Johnson too."
+    rows = [(1, text), (2, "Dr. John Smith wrote to Mary Jones, and Jones wrote to Smith."), (3, "Mary Jones. A \ue000 sign \ue0022, Ms. Jones."), (4, "Dr. Anna Schmidt"), (5, "Mrs. Anna Schmidt and Herr Schmidt")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m = re.fullmatch(
+        r"Mr\. (\w+) (\w+) met Mr\. (\w+)\. (\w+) (\w+) left\. Dr\. (\w+) (\w+) stayed\. Mrs\. (\w+) (\w+) and (\w+) (\w+)\. (\w+) slept; (\w+)'s dog and (\w+) did not\. Mrs\. (\w+) came, smith and Johnson too\.",
+        got[1],
+    ).groups()
+    john, smith, ann, lee = m[0], m[1], m[7], m[8]
+    assert m[2:7] == (smith, john, smith, john, smith) and m[9:14] == (ann, lee, john, smith, lee)
+    assert len({john, smith, ann, lee, m[14]} | {"John", "Smith", "Ann", "Lee"}) == 9  # Mrs. Smith is another person
+    assert not re.search(r"\b(John|Smith|Ann|Lee)\b", got[1])
+    other = re.fullmatch(r"Dr\. (\w+) (\w+) wrote to (\w+) (\w+), and (\w+) wrote to (\w+)\.", got[2]).groups()
+    assert other[:2] == (john, smith) and other[5] == smith and other[4] == other[3]
+    assert re.fullmatch(rf"{other[2]} {other[3]}\. A \ue000 sign \ue0022, Ms\. {other[3]}\.", got[3])
+    schmidt = got[4].removeprefix("Dr. ")
+    assert got[5].startswith(f"Mrs. {schmidt} and Herr ") and not got[5].endswith(schmidt.split()[1]) and schmidt.split()[0][-1] == "a"
+
+
+def brute_people(text):
+    """Who each capitalised name of a text is, by a loop over words."""
+    out, people = [], []
+    for m in re.finditer(pii.NAME.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\p{Lu}", "[A-Z]").replace(r"[\p{Ll}\p{Mn}]", "[a-z]"), text):
+        title, _, bare = m[0].rpartition(". ")
+        gender = {"Mr": "m", "Mrs": "f"}.get(title, "o")
+        people.append((bare, gender))
+    known = {p for p, _ in people} | {x for p, _ in people for x in p.split()}
+    told = {p: next((g for q, g in people if q == p and g != "o"), "o") for p, _ in people if " " in p}
+    for w in re.finditer(r"(?:(Mr|Mrs|Dr)\. )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)", text):
+        gender = {"Mr": "m", "Mrs": "f"}.get(w[1], "o")
+        for bare in [w[2]] if w[2] in known else w[2].split():
+            if bare not in known:
+                continue
+            if " " not in bare:
+                bare = next((p for p, g in told.items() if bare in (p.split()[0], p.split()[-1]) and ("o" in (g, gender) or g == gender)), bare)
+            out.append(bare.lower())
+    return out
+
+
+def test_identities_equal_a_loop(spark):
+    rng = __import__("random").Random(5)
+    given, family = ["Mary", "John", "Tara", "Olaf"], ["Stone", "Rivers", "Marsh"]
+    texts = []
+    for _ in range(120):
+        said = []
+        for _ in range(rng.randint(1, 7)):
+            title = rng.choice(["", "", "Mr. ", "Mrs. ", "Dr. "])
+            said.append(title + rng.choice([f"{rng.choice(given)} {rng.choice(family)}", rng.choice(family), rng.choice(given)]))
+        texts.append(", then ".join(said) + " went home.")
+    df = pii.searched(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: [m["identity"] for m in r["marks"] or []] for r in df.collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == brute_people(text), text
+
+
+def test_hot_entities_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(pii, "HOT_MENTIONS", 3)
+    df = spark.createDataFrame([(None, f"mail a.b@c.org and x{k}@c.org from fe80:0:0:0:1:2:3:{k}") for k in range(20)], "doc_id long, text string")
+    got = [r["text"] for r in pii.replace_personal_data(df).collect()]
+    mails = [re.findall(r"\S+@\S+", t) for t in got]
+    assert len(got) == 20 and len({m[0] for m in mails}) == 1 and len({m[1] for m in mails}) == 20 and "a.b@c.org" not in mails[0]
+    assert len({t.rpartition(" ")[2] for t in got}) == 20 and all(re.fullmatch(r"([0-9a-f]{1,4}:){7}[0-9a-f]+", t.rpartition(" ")[2]) for t in got)
