@@ -32,7 +32,7 @@ WINDOW = 8
 SHARE, ENOUGH = 0.5, 6
 #: Placeholders that a window may have at most, as a share of its length: the rest must agree literally.
 MOST_SLOTS = 0.5
-#: Shorter items have no window of their own that says enough.
+#: Shorter items are found as they are only: a template of them says too little.
 LEAST_WORDS = 3
 #: log2 of the bits in the bitmap.
 BITMAP = 22
@@ -119,7 +119,7 @@ def _block_words(raw: np.ndarray, opening: bool) -> tuple[np.ndarray, ...]:
 
 def words(raw: np.ndarray, at: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, ...]:
     """Canonical words of all texts in a flat array, each of which begins with white space: canonical hash, literal hash,
-    is a placeholder, is a name, and how many words precede each text.
+    is a placeholder, is a name, may be a name or just open a sentence, and how many words precede each text.
 
     Where more than three words in a row look like names, as in a heading or a text in capitals, none of them is one.
     """
@@ -134,10 +134,11 @@ def words(raw: np.ndarray, at: np.ndarray, block: int = BLOCK) -> tuple[np.ndarr
         k = end
     if not pieces:
         empty = np.zeros(0, np.uint64)
-        return empty, empty, np.zeros(0, bool), np.zeros(0, bool), np.zeros(len(at), np.int64)
+        return empty, empty, *(np.zeros(0, bool) for _ in range(3)), np.zeros(len(at), np.int64)
     h, digit, name, opens, start = (np.concatenate(x) for x in zip(*pieces, strict=True))
     first = np.searchsorted(start, at)
     opens[first[:-1][first[:-1] < len(opens)]] = True
+    opener = name & opens
     name &= ~opens
     edge = np.flatnonzero(np.diff(np.concatenate([[False], name, [False]]).astype(np.int8)))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -146,7 +147,7 @@ def words(raw: np.ndarray, at: np.ndarray, block: int = BLOCK) -> tuple[np.ndarr
     unit = np.zeros(len(h), bool)
     unit[1:] = digit[:-1] & np.isin(h[1:], _unit_hashes()) & ~digit[1:]
     canonical = np.where(digit, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
-    return canonical, h, digit | unit | name, name & ~digit & ~unit, first
+    return canonical, h, digit | unit | name, name & ~digit & ~unit, opener & ~digit & ~unit, first
 
 
 @lru_cache(maxsize=1)
@@ -187,8 +188,8 @@ def template_windows(texts: DataFrame, id_column: str, lengths: tuple[int, ...]
 
     With ``lengths``, windows of those lengths that the broadcast ``bitmap`` lets through; without, all windows of
     ``WINDOW`` words, or the whole text as one window if it is shorter. Each is hashed with placeholders for numbers, units
-    and names, with names as they are, and with all words as they are; what says too little as a template
-    (``MOST_SLOTS``) only as it is. ``n_templates``: how many say enough. ``copy`` tells rows of one id apart.
+    and names, also with one for a capitalised word that opens a sentence, with names as they are, and with all words as
+    they are; what says too little as a template (``MOST_SLOTS``, ``LEAST_WORDS``) only as it is. ``n_templates``: how many say enough. ``copy`` tells rows of one id apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,19 +197,19 @@ def template_windows(texts: DataFrame, id_column: str, lengths: tuple[int, ...]
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, at = _with_blank(part.column("text"))
-                canonical, literal, slot, name, first = words(raw, at)
+                canonical, literal, slot, name, opener, first = words(raw, at)
                 sizes = np.diff(first)
                 rows: list[tuple[np.ndarray, ...]] = []
                 lists: list[np.ndarray] = []
-                kinds = ((canonical, slot, None), (np.where(name, literal, canonical), slot & ~name, name), (literal, np.zeros(len(slot), bool), slot & ~name))
-                for n in lengths or sorted({WINDOW, *(int(x) for x in np.unique(sizes) if LEAST_WORDS <= x < WINDOW)}):
+                kinds = ((canonical, slot, None), (np.where(name, literal, canonical), slot & ~name, name), (literal, np.zeros(len(slot), bool), slot & ~name), (np.where(opener, NAME, canonical), slot | opener, opener))
+                for n in lengths or sorted({WINDOW, *(int(x) for x in np.unique(sizes) if 0 < x < WINDOW)}):
                     templates = np.zeros(len(sizes), np.int64)
                     for own, filled, other in kinds:
                         if other is not None and not other.any():
                             continue  # as the kind before
                         text, h, k = _windows(n, own, first)
                         slots = np.concatenate([[0], np.cumsum(filled)])
-                        take = slots[k + n] - slots[k] <= MOST_SLOTS * n
+                        take = slots[k + n] - slots[k] <= (MOST_SLOTS * n if n >= LEAST_WORDS else 0)
                         if there is None:
                             take &= (sizes[text] == n) | (n == WINDOW)
                         if other is None:
@@ -269,8 +270,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Returns ``doc_id long, item_id long, n_windows long, n_found long, reparameterised boolean``: the item's windows, how
     many of them the document has in consistent alignments, and whether a placeholder holds another value there. A pair is
     reported if half of the item's windows, or six of them, are found; or half or six of those that can match with other
-    values, if what is found covers half of the item's words. Null and empty texts and items of fewer than three
-    words have none; rows with a null id take no part; repeated rows are reported once; an empty table gives no rows;
+    values, if what is found covers half of the item's words. Items of one or two words are found as they are. Null and
+    empty texts have none; rows with a null id take no part; repeated rows are reported once; an empty table gives no rows;
     further columns are ignored.
     """
     spark = docs.sparkSession

@@ -8,14 +8,15 @@ from kinstrand.llm import decontaminate as d
 
 def test_canonical_words():
     raw, at = d._with_blank(pa.array(['The "Train" runs 60 km, to Paris.', "ÉCOLE école", None, "Rome wins. Rome"]))
-    canonical, literal, slot, name, first = d.words(raw, at, block=16)
+    canonical, literal, slot, name, opener, first = d.words(raw, at, block=16)
     assert first.tolist() == [0, 7, 9, 9, 12]
     assert [i for i, x in enumerate(slot) if x] == [1, 3, 4, 6]  # Train, 60, km, Paris
     assert [i for i, x in enumerate(name) if x] == [1, 6]
     assert canonical[3] == d.NUMBER and canonical[4] == d.UNIT and canonical[6] == d.NAME == canonical[1]
     assert canonical[7] == canonical[8] and literal[9] == literal[11]
     whole = d.words(raw, at)
-    for x, y in zip((canonical, literal, slot, name, first), whole, strict=True):
+    assert [i for i, x in enumerate(opener) if x] == [0, 9, 11]
+    for x, y in zip((canonical, literal, slot, name, opener, first), whole, strict=True):
         assert np.array_equal(x, y)
 
 
@@ -79,6 +80,13 @@ def test_other_values_of_an_item_rich_in_numbers(spark):
     assert [(r["doc_id"], r["reparameterised"]) for r in got] == [(1, True)]
 
 
+def test_a_name_that_opens_a_sentence(spark):
+    bench = spark.createDataFrame([(1, "Natalia walked home. How far is it?"), (2, "What is 12 + 7 * 31 - 5?"), (3, "Compute 17 * 23 + 4 * 9")], "item_id long, text string")
+    docs = {1: "Maria walked home. How far is it?", 2: "so Natalia walked home. How far is it?", 3: "Maria Natalia walked. Home is far", 4: "x What is 12 + 7 * 31 - 5?", 5: "Please compute 17 * 23 + 4 * 9 now"}
+    rows = d.contamination(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["reparameterised"]) for r in rows) == [(1, 1, True), (2, 1, False), (4, 2, False), (5, 3, False)]
+
+
 def test_one_altered_value_costs_its_windows_only(spark):
     words = [f"w{'abcdefghij'[k // 20]}{'abcdefghijklmnopqrst'[k % 20]}" for k in range(200)]
     words[20] = words[150] = "1234"
@@ -102,9 +110,9 @@ def test_consistent_against_hand():
 
 def test_edges(spark):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (None, ITEM), (4, "two words"), (5, "only four words here"), (1, ITEM)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "so only four words here then"), (None, ITEM), (4, "w " * 200000 + ITEM + " v" * 100000), (4, "other"), (5, ITEM), (5, ITEM)], "doc_id long, text string").selectExpr("*", "1 AS item_id", "'x' AS slots")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "so only four words here then"), (None, ITEM), (4, "w " * 200000 + ITEM + " v" * 100000), (4, "other"), (5, ITEM), (5, ITEM), (6, "Just 'Two words'.")], "doc_id long, text string").selectExpr("*", "1 AS item_id", "'x' AS slots")
     got = sorted((r["doc_id"], r["item_id"]) for r in d.contamination(docs, bench).collect())
-    assert got == [(3, 5), (4, 1), (5, 1)]
+    assert got == [(3, 5), (4, 1), (5, 1), (6, 4)]
     assert d.contamination(docs.limit(0), bench).count() == 0 and d.contamination(docs, bench.limit(0)).count() == 0
     d_rows, d.BROADCAST_ROWS = d.BROADCAST_ROWS, 0
     try:
