@@ -96,6 +96,90 @@ def test_several_in_one_sentence(text, want):
     assert [m[:3] for m in licenses.scan(text)] == want
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+APACHE_BODY = """                              Apache License
+                        Version 2.0, January 2004
+                     http://www.apache.org/licenses/
+
+TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+1. Definitions.
+
+   "License" shall mean the terms and conditions for use, reproduction,
+   and distribution as defined by Sections 1 through 9 of this document.
+
+2. Grant of Copyright License. Subject to the terms and conditions of
+   this License, each Contributor hereby grants to You a perpetual,
+   worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+   copyright license to reproduce.
+
+3. Grant of Patent License. Subject to the terms and conditions of
+   this License, each Contributor hereby grants to You a perpetual,
+   worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+   (except as stated in this section) patent license to make."""
+GPL_BODY = """                    GNU {k}GENERAL PUBLIC LICENSE
+                       Version {v}
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  {one}
+
+{two}"""
+GPL2 = GPL_BODY.format(k="", v="2, June 1991", one="The licenses for most software are designed to take away your\nfreedom to share and change it.", two="0. This License applies to any program or other work which contains\na notice placed by the copyright holder saying so.")
+GPL3 = ("The GNU {}General Public License is a free, copyleft license for\nsoftware and other kinds of works.", "All rights granted under this License are granted for the term of\ncopyright on the Program, and are irrevocable provided the stated\nconditions are met.")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (ZLIB, ("Zlib", "zlib-full")),
+        (APACHE_BODY, ("Apache-2.0", "apache-body")),
+        (GPL2, ("GPL-2.0", "gpl2-body")),
+        (GPL_BODY.format(k="", v="3, 29 June 2007", one=GPL3[0].format(""), two=GPL3[1]), ("GPL-3.0", "gpl3-body")),
+        (GPL_BODY.format(k="AFFERO ", v="3, 19 November 2007", one=GPL3[0].format("Affero "), two=GPL3[1]), ("AGPL-3.0", "gpl3-body")),
+        (MPL, ("MPL-2.0", "mpl-header")),
+        ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0", ("EPL-2.0", "epl-named")),
+        ("Distributed under the Boost Software License,\nVersion 1.0. (See accompanying file)", ("BSL-1.0", "boost-named")),
+        ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", ("CC-BY-SA-4.0", "cc-long")),
+        ("placed in the public\ndomain.", ("LicenseRef-public-domain", "public-domain")),
+        ("All rights\nreserved.", ("LicenseRef-all-rights-reserved", "reserved")),
+        ("Licensed under CC0 1.0", ("CC0-1.0", "cc0-named")),
+    ],
+)
+def test_bodies_and_wrapped_lines(spark, text, want, mark):
+    text = "".join(mark + line for line in text.splitlines(True))
+    assert [m[:2] for m in licenses.scan(text)] == [want]
+    assert re.search(licenses.HINT, text)
+
+
+def test_every_sentence_is_found_and_hinted():
+    fill = {"{v}": "2.0", "{v}{l}": "2.0 or later", "{k}": "lesser", "{cc}": "by-sa", "cc-{cc}": "cc-by", "{ccname}": "attribution-sharealike", "{n}-clause": "3-clause", "{id}": "mit", "*": "any other words"}
+    for name, sentence in licenses.SENTENCES.items():
+        for short in (False, True):
+            words = [fill.get(w, w.removesuffix("?").split("|")[-1 if short else 0]) for w in sentence.split() if not (short and w.endswith("?"))]
+            plain = " ".join(words)
+            assert licenses.normalise(plain) == plain, name
+            assert name in {n for n, _ in licenses.identify("some words " + plain + " and more")}, name
+            assert re.search(licenses.HINT, plain), name
+
+
 def test_documents_against_search(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = {
