@@ -44,7 +44,7 @@ SENTENCES = {
     "zlib-origin": "the origin of this software must not be misrepresented",
     "zlib-altered": "altered source versions must be plainly marked as such",
     "zlib-notice": "this notice may not be removed or altered from any source distribution",
-    "boost-title": "boost software license - version {v}",
+    "boost-title": "boost software license version {v}",
     "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "boost-notice": "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies",
     "boost-named": "distributed under the boost software license {v}",
@@ -78,7 +78,7 @@ SENTENCES = {
     "mpl-grant": "each contributor hereby grants you a world-wide royalty-free non-exclusive license",
     "mpl-named": "subject to the terms of the mozilla public license {v}",
     "mpl-obtain": "if a copy of the mpl was not distributed with this file you can obtain one at",
-    "epl-title": "eclipse public license - {v}",
+    "epl-title": "eclipse public license {v}",
     "epl-provided": "the accompanying program is provided under the terms of this eclipse public license agreement",
     "epl-accept": "any use reproduction or distribution of the program constitutes recipients acceptance of this agreement",
     "epl-named": "made available under the terms of the eclipse public license {v}",
