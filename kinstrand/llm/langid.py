@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinstrand.llm.arrow_text import bounded_batches, flat, slices
+from kinstrand.llm.rows import unused
 
 ORDER = 3
 #: The classifier is fitted on about so many documents of each language at most, chosen by a hash of their ids.
 TRAIN_DOCS = 4000
 #: A context is kept from so many occurrences on.
 LEAST_COUNT = 2
-#: Size of the table of code lengths; the rarest contexts are left to their shorter ones beyond it.
-TABLE_BYTES = 32 << 20
+#: Bytes of text that are looked up at once; their numbers take some dozen times that.
+BLOCK = 1 << 18
 UNDETERMINED = "und"
 #: Bits a byte from which on a text counts as being in none of the languages: what coding each byte alike takes.
 REJECT_BITS = float(np.log2(221))
@@ -70,9 +71,10 @@ def count_strings(train: DataFrame) -> DataFrame:
 
 
 class ContextTrees:
-    """The frozen trees of all languages as one table of code lengths."""
+    """The frozen trees of all languages as one table of code lengths: a row for each kept context and next byte, so its
+    size is bounded by the sample that the trees are fitted on."""
 
-    def __init__(self, counts: pd.DataFrame, table_bytes: int = TABLE_BYTES):
+    def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique().tolist())
         key = counts["key"].to_numpy(np.int64)
         quad = np.stack([(key >> s) & 255 for s in (24, 16, 8, 0)], 1)
@@ -82,8 +84,7 @@ class ContextTrees:
         self.symbol[seen] = np.arange(1, a)
         s, n = self.symbol[quad].astype(np.int64), counts["n"].to_numpy(np.float64)
         which = np.searchsorted(self.langs, counts["lang"].to_numpy(str)) if self.langs else np.zeros(0, np.int64)
-        room = max(64, table_bytes // (4 * a * max(1, len(self.langs))))
-        contexts = self._contexts(s, n, a, room)
+        contexts = self._contexts(s, n, a)
         self.deepest = np.zeros(a**ORDER, np.int32)  # of three symbols: the row of the longest kept context
         every = np.arange(a**ORDER)
         for k in range(1, ORDER + 1):
@@ -94,8 +95,8 @@ class ContextTrees:
         lengths = [self._code_lengths(s[which == x], n[which == x], contexts, a) for x in range(len(self.langs))]
         self.bits = np.ascontiguousarray(np.stack(lengths, -1).reshape(-1, len(lengths)), np.float32) if lengths else np.zeros((a, 0), np.float32)
 
-    def _contexts(self, s: np.ndarray, n: np.ndarray, a: int, room: int) -> dict[int, np.ndarray]:
-        """The contexts of each length that are kept: the most frequent ones, each with its shorter ones."""
+    def _contexts(self, s: np.ndarray, n: np.ndarray, a: int) -> dict[int, np.ndarray]:
+        """The contexts of each length that are kept, each with its shorter ones."""
         kept, first, self._first = {0: np.zeros(1, np.int64)}, 1, {0: 0}
         for k in range(1, ORDER + 1):
             code = sum(s[:, ORDER - k + j] * a ** (k - 1 - j) for j in range(k))
@@ -103,7 +104,6 @@ class ContextTrees:
             good = np.flatnonzero(total >= LEAST_COUNT)
             if k > 1:
                 good = good[np.isin(good % a ** (k - 1), kept[k - 1])]
-            good = np.sort(good[np.argsort(-total[good], kind="stable")[: max(0, room - first)]])
             kept[k], self._first[k] = good, first
             first += len(good)
         return kept
@@ -130,13 +130,18 @@ class ContextTrees:
     def code_lengths(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text in each language, and its bytes."""
         raw, at = _padded(texts)
-        s = self.symbol[raw].astype(np.int32)
-        row = self.deepest[(s[:-3] * self.symbols + s[1:-2]) * self.symbols + s[2:-1]]
-        bits = np.zeros((len(s), len(self.langs)), np.float32)
-        np.take(self.bits, row * self.symbols + s[ORDER:], axis=0, out=bits[ORDER:], mode="clip")
-        for k in range(ORDER):
-            bits[at[:-1] + k] = 0
-        return np.add.reduceat(bits, at[:-1], axis=0, dtype=np.float64), np.diff(at) - ORDER
+        total, pads = np.zeros((len(at) - 1, len(self.langs))), (at[:-1, None] + np.arange(ORDER)).ravel()
+        for k in range(ORDER, len(raw), BLOCK):
+            end = min(len(raw), k + BLOCK)
+            s = self.symbol[raw[k - ORDER : end]].astype(np.int32)
+            row = self.deepest[(s[:-3] * self.symbols + s[1:-2]) * self.symbols + s[2:-1]]
+            bits = np.take(self.bits, row * self.symbols + s[ORDER:], axis=0, mode="clip")
+            bits[pads[np.searchsorted(pads, k) : np.searchsorted(pads, end)] - k] = 0
+            # texts that lie in this block, and where each begins in it
+            first = np.searchsorted(at, k, side="right") - 1
+            texts_in = np.arange(first, np.searchsorted(at[:-1], end))
+            total[texts_in] += np.add.reduceat(bits, np.maximum(at[texts_in] - k, 0), axis=0, dtype=np.float64)
+        return total, np.diff(at) - ORDER
 
 
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees:
@@ -162,7 +167,7 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     Repeated rows and null ids give a row each.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # TABLE_BYTES bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
@@ -199,13 +204,13 @@ def identify(docs: DataFrame, folds: int = 5, train_docs: int = TRAIN_DOCS) -> D
 
 
 def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text is in one of the learned languages.
+    """The rows of ``docs`` (all columns, whatever their names) whose text is in one of the learned languages.
 
     Rejected are texts that are null or have no letters, and those whose code in every language is no shorter than
     coding every byte alike. Rows pass or go where they are read, without a shuffle.
     """
     trees = learn(docs.where(fold_number("doc_id", folds) != 0))
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # TABLE_BYTES bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
@@ -216,5 +221,5 @@ def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
                 good = lettered & (bits.min(1, initial=np.inf) < REJECT_BITS * size)
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], schema=pa.schema(list(part.schema)[:-1])).filter(pa.array(good))
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(unused(docs.columns, "lettered"))
     return docs.select("*", lettered).mapInArrow(run, docs.schema)

@@ -67,6 +67,17 @@ def test_code_lengths_are_exact():
             assert abs(bits[k, x] - brute_bits(every[lang], text)) < 1e-3
 
 
+def test_blocks_of_long_texts(monkeypatch):
+    counts = pd.DataFrame([("aa", int.from_bytes(k, "big"), 3) for k in (b"  ab", b" aba", b"abab", b"baba", b"aba ")], columns=["lang", "key", "n"])
+    trees = langid.ContextTrees(counts)
+    texts = pa.array(["ab" * 40, None, "", "x", "aba " * 9, "ab"])
+    whole = trees.code_lengths(texts)
+    for block in (1, 2, 3, 5, 16, 83):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for x, y in zip(whole, trees.code_lengths(texts), strict=True):
+            assert np.allclose(x, y)
+
+
 def test_edges(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "123 !!", "en"), (5, "", None), (6, "the hat", None), (None, "the cat", "en"), (1, "the cat sat on the mat", "en"), (7, "你好", None), (8, "the cat " * 40000, None)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
@@ -78,5 +89,6 @@ def test_edges(spark):
     assert langid.predict(df.limit(0), trees).count() == 0
     nothing = langid.learn(df.limit(0))
     assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
+    df = df.withColumns({"lettered": df["lang"], "lettered~": df["lang"]})
     kept = langid.accepted(df)
     assert kept.columns == df.columns and {3, 4, 5}.isdisjoint({r["doc_id"] for r in kept.collect()})
