@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinstrand.llm import decontaminate, langid, packing, pii, simhash
 from kinstrand.llm.rows import without
-from kinstrand.plans.storage import materialize
+from kinstrand.plans.storage import discard_written, materialize, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote for itself goes once its result is stored, and that once the next one's is."""
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard_written(first, -1)
     return STAGES[-1][1](spark, docs, sf_dir)
