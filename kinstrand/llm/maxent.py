@@ -39,15 +39,14 @@ RARE = 1024
 HEAD = FAN**4 - RARE
 #: Numbers of a sketch.
 SKETCH = 32
-FEATURES = 4
-#: Upper levels, whose nodes see all features; the lower ones see the first of them.
-UPPER, LOWER_FEATURES = 2, 2
+#: Features, and how many of them the nodes of each level see; the lower levels see the first ones.
+FEATURES, SEEN = 4, (4, 4, 2, 2)
 #: log2 of the least and the most rows of feature weights, and tokens for each row.
 LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 18, 21, 2
-BATCH = 8192
-RATE = 0.6
+BATCH = 1024
+RATE = 0.8
 #: Characters of text for one trainer, trainers at least, and sorted shares of one trainer's documents.
-TRAINER_CHARS, TRAINERS, SHARES = 160_000_000, 4, 12
+TRAINER_CHARS, TRAINERS, SHARES = 160_000_000, 3, 16
 #: Sum of squared gradients of a row in a trainer up to which the trainers' changes largely add up.
 YOUNG = 10.0
 #: Rows of weights or leaves in a block, and blocks that one task adds up.
@@ -137,10 +136,10 @@ def _before(x: np.ndarray, first: np.ndarray, edge: int) -> tuple[np.ndarray, np
 
 
 def features(h: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Hashes of the features of each token's context: ``FEATURES`` columns."""
+    """Hashes of the features of each token's context: ``FEATURES`` rows."""
     one, two = _before(h, first, int(END))
     near, far = _before((code >> 8).astype(np.uint64), first, 999)
-    return np.stack([one * _M1, _mix(one * _M2 + two), two * _M2 + _M1, (near * np.uint64(1009) + far + np.uint64(7)) * _M2], 1)
+    return np.stack([one * _M1, _mix(one * _M2 + two), two * _M2 + _M1, (near * np.uint64(1009) + far + np.uint64(7)) * _M2])
 
 
 @dataclass
@@ -224,54 +223,71 @@ class Model:
     code: np.ndarray
     depth: int
     bias: np.ndarray
+    #: Rows of weights, as whole numbers and their units.
     weights: np.ndarray
+    units: np.ndarray
     rows: int
 
+    def full(self) -> np.ndarray:
+        """The weights as floats; calculated once in a process."""
+        if "_full" not in self.__dict__:
+            self._full = self.weights * self.units.astype(np.float32)[:, None]
+        return self._full
+
     def codes(self, found: np.ndarray, rare: np.ndarray) -> np.ndarray:
         """The path of each token, whose number in the head (or -1) and rare class are given."""
         return self.code[np.where(found >= 0, found + RARE, rare)]
 
-    def levels(self, f: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def levels(self, f: np.ndarray, code: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
         """For each node on the way: the rows of its features, the node, and the branch taken."""
-        rows, base = np.uint64(self.rows), 0
+        last, base = np.uint64(self.rows - 1), 0
         for level in range(self.depth):
-            node = code >> (4 * (self.depth - level))
+            node = (code >> (4 * (self.depth - level))) + base
             branch = (code >> (4 * (self.depth - level - 1))) & (FAN - 1)
-            mixed = (f if level < UPPER else f[:, :LOWER_FEATURES]) ^ ((node + base + 1).astype(np.uint64) * _M1)[:, None]
-            yield (((mixed ^ (mixed >> _S)) * _M2 >> np.uint64(32)) % rows).astype(np.int32), node + base, branch
+            key, rows = (node + 1).astype(np.uint64) * _M1, []
+            for own in f[: SEEN[min(level, len(SEEN) - 1)]]:
+                x = own ^ key
+                x ^= x >> _S
+                x *= _M2
+                x >>= np.uint64(32)
+                x &= last
+                rows.append(x.astype(np.int64))
+            yield rows, node, branch
             base += FAN**level
 
 
-def _softmax(s: np.ndarray) -> np.ndarray:
-    s -= s.max(1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(1, keepdims=True)
-    return s
+_rows = [np.empty((BATCH, FAN), np.float32) for _ in range(FEATURES + 1)]
 
 
-def _branches(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Probabilities of the branches of each node."""
-    out = bias[node]
-    for k in range(rows.shape[1]):
-        out += weights[rows[:, k]]
-    return _softmax(out)
+def _odds(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Odds of the branches of each node, and the weights of each feature; both are overwritten by the next call."""
+    n = len(node)
+    out, own = _rows[-1][:n], [x[:n] for x in _rows[: len(rows)]]
+    np.take(bias, node, axis=0, out=out, mode="clip")
+    for row, x in zip(rows, own, strict=True):
+        np.take(weights, row, axis=0, out=x, mode="clip")
+        out += x
+    np.minimum(out, 60, out=out)
+    np.exp(out, out=out)
+    return out, own
 
 
 def path_log10(model: Model, f: np.ndarray, code: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's path."""
-    out = np.zeros(len(code))
-    if model.weights.dtype != np.float32:
-        model.weights = model.weights.astype(np.float32)
+    out, weights = np.empty(len(code)), model.full()
     for k in range(0, len(code), BATCH):
         part = code[k : k + BATCH]
-        for rows, node, branch in model.levels(f[k : k + BATCH], part):
-            p = _branches(model.bias, model.weights, rows, node)[np.arange(len(part)), branch]
-            out[k : k + BATCH] += np.log10(np.maximum(p, 1e-30))
+        p, at = np.ones(len(part)), np.arange(len(part))
+        for rows, node, branch in model.levels(f[:, k : k + BATCH], part):
+            odds, _ = _odds(model.bias, weights, rows, node)
+            p *= odds[at, branch] / odds.sum(1)
+        out[k : k + BATCH] = np.log10(np.maximum(p, 1e-300))
     return out
 
 
 class Trainer:
-    """Gradient steps on a copy of the weights; a step is scaled by the past gradients of its row."""
+    """Gradient steps on weights of its own; a step is scaled by the past gradients of its row. Of the tokens of a batch
+    that share a row the last one moves it; batches are small."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -280,34 +296,52 @@ class Trainer:
 
     def batch(self, f: np.ndarray, code: np.ndarray) -> None:
         for rows, node, branch in self.model.levels(f, code):
-            g = _branches(self.model.bias, self.weights, rows, node)
+            g, own = _odds(self.model.bias, self.weights, rows, node)
+            g /= g.sum(1, keepdims=True)
             g[np.arange(len(g)), branch] -= 1
-            every = rows.T.ravel()
-            order = np.argsort(every)
-            ordered = every[order]
-            at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            gradient = np.add.reduceat(g[order % len(g)], at, axis=0)
-            own = ordered[at]
-            past = self.past[own] + (gradient * gradient).sum(1)
-            self.past[own] = past
-            self.weights[own] -= gradient * (RATE / np.sqrt(past + 1e-3))[:, None]
+            size = np.einsum("ij,ij->i", g, g) + np.float32(1e-4)
+            for row, x in zip(rows, own, strict=True):
+                past = self.past.take(row, mode="clip")
+                past += size
+                self.past[row] = past
+                np.sqrt(past, out=past)
+                x -= g * (np.float32(RATE) / past)[:, None]
+                self.weights[row] = x
 
     def text(self, h: np.ndarray, rare: np.ndarray, first: np.ndarray) -> None:
         code = self.model.codes(self.model.head.find(h), rare)
         f = features(h, first, code)
         for k in range(0, len(code), BATCH):
-            self.batch(f[k : k + BATCH], code[k : k + BATCH])
+            self.batch(f[:, k : k + BATCH], code[k : k + BATCH])
+
+
+#: Different tokens that a task gathers before it hands on their counts.
+GATHERED = 400_000
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
     """``token long, class int, n long`` of the texts of ``train``."""
 
+    def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        h, rare, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return key, rare[first], np.bincount(at, n, len(key)).astype(np.int64)
+
+    def handed(h: np.ndarray, rare: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rare.astype(np.int32)), pa.array(n)], names=["token", "class", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                h, shared, _ = tokens(part.column("text"))
-                key, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(shared[first].astype(np.int32)), pa.array(n)], names=["token", "class", "n"])
+                h, rare, _ = tokens(part.column("text"))
+                held.append(added([(h, rare, np.ones(len(h)))]))
+                if sum(len(x[0]) for x in held) > GATHERED:
+                    held = [added(held)]
+                    if len(held[0][0]) > GATHERED // 2:
+                        yield handed(*held.pop())
+        if held:
+            yield handed(*added(held))
 
     return train.mapInArrow(run, "token long, class int, n long").groupBy("token").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
@@ -352,10 +386,7 @@ def _sketches(train: DataFrame, head: Head) -> np.ndarray:
                 for k, near in enumerate((one, after)):
                     z = _mix(near + np.uint64(k + 1))
                     sign = (z >> np.uint64(20)) & np.uint64(1) == 1
-                    at_z = at + (z % np.uint64(SKETCH)).astype(np.int64)
-                    for up, own in ((1, sign), (-1, ~sign)):
-                        key, count = np.unique(at_z[own], return_counts=True)
-                        out[key] += (up * count).astype(np.int32)
+                    np.add.at(out, at + (z % np.uint64(SKETCH)).astype(np.int64), np.where(sign, np.int32(1), np.int32(-1)))
         blocks = [out[k : k + BLOCK_ROWS * SKETCH].astype(np.int64).tobytes() for k in range(0, len(out), BLOCK_ROWS * SKETCH)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(blocks)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int32()), pa.array([b""] * len(blocks), pa.binary()), pa.array(blocks, pa.binary())],
@@ -373,18 +404,18 @@ def _sketches(train: DataFrame, head: Head) -> np.ndarray:
 
 
 def _packed(change: np.ndarray) -> bytes:
-    """Changes of rows as whole numbers up to 127 and their unit."""
-    unit = (np.abs(change).max(1) / 127).astype(np.float32)
-    return unit.tobytes() + np.rint(change / np.maximum(unit, 1e-30)[:, None]).astype(np.int8).tobytes()
+    """Changes of rows as whole numbers up to 127 and their units."""
+    unit = (np.abs(change).max(1) / 127).astype(np.float16)
+    return unit.tobytes() + np.rint(change / np.maximum(unit.astype(np.float32), 1e-7)[:, None]).clip(-127, 127).astype(np.int8).tobytes()
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    n = len(raw) // (FAN + 4)
-    return np.frombuffer(raw, np.int8, offset=4 * n).reshape(n, FAN) * np.frombuffer(raw, np.float32, n)[:, None]
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // (FAN + 2)
+    return np.frombuffer(raw, np.int8, offset=2 * n).reshape(n, FAN), np.frombuffer(raw, np.float16, n)
 
 
-def _trained(texts: DataFrame, model: Model, trainers: int) -> np.ndarray:
-    """The weights after the updates of ``trainers`` trainers on ``texts`` (doc_id, text)."""
+def _trained(texts: DataFrame, model: Model, trainers: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights (whole numbers and units) after the updates of ``trainers`` trainers on ``texts`` (doc_id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(model)  # of fixed size, its weights still one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,28 +429,33 @@ def _trained(texts: DataFrame, model: Model, trainers: int) -> np.ndarray:
         for k in at:
             past = trainer.past[k : k + BLOCK_ROWS]
             if past.any():
-                columns = [pa.array([k // BLOCK_ROWS], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.stack([past, past**1.5]).tobytes()], pa.binary())]
+                columns = [pa.array([k // BLOCK_ROWS], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.minimum(past, 6e4).astype(np.float16).tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([_packed(trainer.weights[k : k + BLOCK_ROWS])], pa.binary())], names=["block", "member", "weight", "value"])
 
     def add(weights: list[bytes], values: list[bytes]) -> tuple[bytes, bytes]:
+        # sums of squared gradients and of their powers of 1.5: a trainer tells the former, a sum of trainers both
         sums, change = np.zeros((2, BLOCK_ROWS)), np.zeros((BLOCK_ROWS, FAN))
         for w, v in zip(weights, values, strict=True):
-            own = np.frombuffer(w, np.float32).reshape(2, -1)
-            sums += own
-            change += _unpacked(v) * own[0][:, None]
+            one = len(w) == 2 * BLOCK_ROWS
+            past = np.frombuffer(w, np.float16).astype(np.float64) if one else np.frombuffer(w, np.float32)[:BLOCK_ROWS]
+            sums += np.stack([past, past**1.5]) if one else np.frombuffer(w, np.float32).reshape(2, -1)
+            whole, unit = _unpacked(v)
+            change += whole * (unit * past)[:, None]
         return sums.astype(np.float32).tobytes(), _packed(change / np.maximum(sums[0], 1e-30)[:, None])
 
     # the same documents in the same order for every trainer, however they are stored
     dealt = texts.withColumn("key", F.xxhash64("doc_id", "text")).repartition(trainers * SHARES, "key").sortWithinPartitions("key", "doc_id").coalesce(trainers)
     merged = _added(dealt.select("text").mapInArrow(run, _SUMS), add, trainers).toArrow()  # of fixed size
-    out = np.zeros((model.rows, FAN), np.float16)
+    weights, units = np.zeros((model.rows, FAN), np.int8), np.zeros(model.rows, np.float16)
     for block, sums, value in zip(*(merged.column(c).to_pylist() for c in ("block", "weight", "value")), strict=True):
         past, more = np.frombuffer(sums, np.float32).reshape(2, -1)
         # steps grow with the root of what a row has seen; one trainer would have seen all of it. A settled row needs no more
         longer = np.maximum(1, past**1.5 / np.maximum(more, 1e-30))
         longer = 1 + (longer - 1) * YOUNG / (YOUNG + past / longer**2)
-        out[block * BLOCK_ROWS : (block + 1) * BLOCK_ROWS] = _unpacked(value) * longer[:, None]
-    return out
+        at = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
+        weights[at], unit = _unpacked(value)
+        units[at] = unit * longer
+    return weights, units
 
 
 def _bias(code: np.ndarray, depth: int, mass: np.ndarray) -> np.ndarray:
@@ -449,9 +485,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     bias = _bias(code, depth, np.concatenate([mass, head.counts]))
     total = int(sums["n"] or 0)
     bits = min(MOST_BITS, max(LEAST_BITS, (total // TOKENS_A_ROW).bit_length()))
-    model = Model(head, total, int(sums["v"]), mass, code, depth, bias, np.zeros((1, FAN), np.float16), 1 << bits)
+    model = Model(head, total, int(sums["v"]), mass, code, depth, bias, np.zeros((1, FAN), np.int8), np.zeros(1, np.float16), 1 << bits)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    model.weights = _trained(texts, model, max(TRAINERS, -(-int(chars) // TRAINER_CHARS)))
+    model.weights, model.units = _trained(texts, model, max(TRAINERS, -(-int(chars) // TRAINER_CHARS)))
     return model, counts
 
 

@@ -41,7 +41,7 @@ def test_probabilities_sum_to_one(spark):
     h, rare, first = maxent.tokens(pa.array([f"aab {w}" for w in known]))
     found = model.head.find(h)
     assert (found >= 0).all() and len(model.head.hashes) == len(known) + 1
-    f = maxent.features(h, first, model.codes(found, rare))[1:2]  # the context after "aab"
+    f = maxent.features(h, first, model.codes(found, rare))[:, 1:2]  # the context after "aab"
     every = np.concatenate([np.arange(maxent.RARE), maxent.RARE + np.arange(len(model.head.hashes))])
     total = sum(10 ** maxent.path_log10(model, f, model.code[k : k + 1])[0] for k in every.tolist())
     # nothing is left: each word of the head and each rare class, whose words and unseen ones share it, is a leaf
@@ -58,15 +58,15 @@ def test_scores_equal_a_plain_calculation(spark, monkeypatch):
     model, counts = maxent.train(df.where("doc_id < 60"))
     count = {r["token"]: r["n"] for r in counts.collect()}
     got = {r["doc_id"]: r["score"] for r in maxent.score_texts(df, model, counts).collect()}
-    weights = model.weights.astype(np.float64)
+    weights = model.full().astype(np.float64)
     for i, text in enumerate(texts):
         h, rare, first = maxent.tokens(pa.array([text], pa.string()))
         found = model.head.find(h)
         code = model.codes(found, rare)
         f, want = maxent.features(h, first, code), 0.0
         for k in range(len(h)):
-            for rows, node, branch in model.levels(f[k : k + 1], code[k : k + 1]):
-                logit = [model.bias[node[0], b] + sum(weights[r, b] for r in rows[0]) for b in range(16)]
+            for rows, node, branch in model.levels(f[:, k : k + 1], code[k : k + 1]):
+                logit = [model.bias[node[0], b] + sum(weights[r[0], b] for r in rows) for b in range(16)]
                 want += (logit[branch[0]] - np.log(np.exp(logit).sum())) / math.log(10)
             if found[k] < 0:
                 want += math.log10((count.get(int(h[k : k + 1].view(np.int64)[0]), 0) + 1) / model.mass[rare[k]])
