@@ -285,11 +285,12 @@ def _order_links(prints: DataFrame, n: int, order: int, orders: int, distance: i
             return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(np.full(len(row), side, np.int32)), own.column("code"), own.column("name")], names=["segment", "side", "code", "name"])
 
         routed = materialize(turned.mapInArrow(route, "segment long, side int, code long, name long"), "routed")
-    counts = routed.groupBy("segment").agg(F.ceil(F.count("*") / segment).cast("int").alias("loads"))
-    parts = materialize(counts.select("segment", (F.col("loads") * tasks).alias("tasks")), "segment-tasks")  # a row a segment
-    if homes < 100_000:
-        parts = F.broadcast(parts)
-    spread = routed.join(parts, "segment")
+    if homes == 1:
+        spread = routed.withColumn("tasks", F.lit(tasks))
+    else:
+        counts = routed.groupBy("segment").agg(F.ceil(F.count("*") / segment).cast("int").alias("loads"))
+        parts = materialize(counts.select("segment", (F.col("loads") * tasks).alias("tasks")), "segment-tasks")  # a row a segment
+        spread = routed.join(F.broadcast(parts) if homes < 100_000 else parts, "segment")
     # members go to every task of their segment, what asks to one; members ask in one of them as well
     copies = spread.where("side = 0").select("segment", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "tasks", "side", "code", "name")
     asks = spread.where("side = 1").select("segment", F.pmod(F.xxhash64("code"), F.col("tasks")).cast("int").alias("task"), "tasks", "side", "code", "name")
