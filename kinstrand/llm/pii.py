@@ -33,7 +33,8 @@ OPEN_TITLES = "Dr Prof Professor".split()
 
 _TITLE = "(?:" + "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES, key=len, reverse=True)) + r")\.?[  ]+"
 _NAME_WORD = r"\p{Lu}[\p{Ll}\p{Mn}]+(?:[-'’]\p{Lu}[\p{Ll}\p{Mn}]+)?"
-TITLED = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"
+# Each pattern begins with what tells soonest that it can't match: its first character, or that a word goes on.
+TITLED = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"
 
 # Common given names, by the gender that they tell.
 GIVEN = {
@@ -56,21 +57,21 @@ def _any_of(words: list[str]) -> str:
     return "(?:" + "|".join(f"{h}(?:" + "|".join(sorted((w[1:] for w in words if w[0] == h), key=len, reverse=True)) + ")" for h in heads) + ")"
 
 
-NAME = rf"{TITLED}|(?<![\p{{L}}\p{{N}}]){_any_of(GIVEN['m'] + GIVEN['f'])}(?: {_NAME_WORD}){{1,2}}(?![\p{{L}}\p{{N}}])"
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}][\p{L}\p{N}-]{0,62}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
-SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}"
-CLOUD_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![0-9])(?<![0-9][.,-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\.?[0-9])"
+NAME = rf"{TITLED}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_any_of(GIVEN['m'] + GIVEN['f'])}(?: {_NAME_WORD}){{1,2}}(?![\p{{L}}\p{{N}}])"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}-]{0,62}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
+SECRET = r"(?=[pstaPSTA])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}"
+CLOUD_KEY = r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
+IBAN = r"(?=[A-Z]{2}[0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"
+CARD = r"(?=[0-9])(?<![0-9])(?<![0-9][.,-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+IP = r"(?=[0-9])(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\.?[0-9])"
 IP6 = (
-    r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:])"
+    r"(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:])"
 )
 PHONE = (
-    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-    r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
+    r"(?=[+(0-9])(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?=\+)(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
 )
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+SSN = r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: In the order in which they are tried.
 PATTERNS = {"name": NAME, "email": EMAIL, "secret": SECRET, "key": CLOUD_KEY, "iban": IBAN, "ssn": SSN, "phone": PHONE, "ip": IP, "ip6": IP6, "card": CARD}
