@@ -28,6 +28,22 @@ _SELECTS = {
         " substr(repeat('ATCG', 26), CAST(event_id % 4 + 1 AS INT), 100) AS seq, CAST(event_id % 61 AS INT) AS mapq,"
         " event_type='error' AS unmapped, event_type='signup' AS duplicate FROM events",
     ),
+    # reads with CIGARs of every kind, an unknown base each, and the reference under them with some bases changed
+    "aligned": (
+        "events",
+        "SELECT event_id AS read_id, CAST(user_id % 5 AS BIGINT) AS chr, CAST(event_id*10+1 AS BIGINT) AS start_pos,"
+        " CASE CAST(event_id % 8 AS INT) WHEN 0 THEN '60M' WHEN 1 THEN '7S53M' WHEN 2 THEN '25M3I32M' WHEN 3 THEN '20M4D40M' WHEN 4 THEN '20M2I3D38M'"
+        " WHEN 5 THEN '3S27M8D24M6S' WHEN 6 THEN '12M100N30M4I14M' ELSE '2M1D58M' END AS cigar,"
+        " concat(substr(repeat('ATCG', 20), CAST(event_id % 4 + 1 AS INT), CAST(event_id % 23 + 2 AS INT)), 'N',"
+        " substr(repeat('ATCG', 30), CAST(event_id % 4 + event_id % 23 + 4 AS INT), CAST(57 - event_id % 23 AS INT))) AS seq,"
+        " concat(substr(repeat('ATCG', 20), CAST(event_id % 4 + 1 AS INT), CAST(event_id % 11 + 1 AS INT)), 'C',"
+        " substr(repeat('ATCG', 60), CAST(event_id % 4 + event_id % 11 + 3 AS INT), 160)) AS reference FROM events",
+    ),
+    "alleles": (
+        "orders",
+        "SELECT o_orderkey AS var_id, CAST(o_custkey % 5 AS VARCHAR(20)) AS chr, CAST(o_orderkey*7+1 AS BIGINT) AS pos, substr('ATCG', CAST(o_custkey % 4 + 1 AS INT), CAST(o_orderkey % 3 // 2 + 1 AS INT)) AS ref_base,"
+        " CASE WHEN o_orderkey % 4 = 0 THEN 'G,TT' WHEN o_orderkey % 4 = 1 THEN 'C' WHEN o_orderkey % 4 = 2 THEN 'A,C,G' ELSE 'AC' END AS alt_base FROM orders",
+    ),
     "links": (
         "orders",
         "SELECT DISTINCT o_orderkey AS from_id, (o_orderkey*37 + k*11) % 1500 AS to_id, CAST(k-1 AS BIGINT) AS rank FROM orders"

@@ -183,16 +183,108 @@ def merge_diagonals(genome):
 
 @query(
     "genome",
-    sql=f""", f AS (SELECT chr, substr(seq,1,200) AS a, substr(seq,201,200) AS b FROM genome WHERE length(seq) >= 400)
-SELECT chr, CAST({" + ".join(f"CAST(substr(a,{k},1) <> substr(b,{k},1) AS INT)" for k in range(1, 201))} AS BIGINT) AS distance, CAST({" + ".join(f"CAST(substr(a,{k},1) <> substr(b,{k},1) AS INT)" for k in range(1, 31))} AS BIGINT) AS first_distance FROM f""",
+    sql=""", h AS (SELECT chr, length(seq) // 2 AS n, substr(seq, 1, length(seq) // 2) AS a, substr(seq, length(seq) // 2 + 1, length(seq) // 2) AS b FROM genome WHERE length(seq) > 1),
+d AS (SELECT chr, k, CAST(substr(a, k, 1) <> substr(b, k, 1) AS INT) AS x FROM (SELECT chr, a, b, unnest(range(1, n + 1)) AS k FROM h))
+SELECT chr, CAST(sum(x) AS BIGINT) AS distance, CAST(sum(x) FILTER (WHERE k <= 30) AS BIGINT) AS first_distance FROM d GROUP BY chr""",
 )
 def hamming_pairs(genome):
-    """Distance of the first and second 200 bases of each sequence, and of the first 30 by packed numbers."""
-    halves = genome.where("length(seq) >= 400").select("chr", F.substring("seq", 1, 200).alias("a"), F.substring("seq", 201, 200).alias("b"))
+    """Distance of the two halves of each whole sequence, and of their first 30 bases by packed numbers."""
+    half = F.floor(F.length("seq") / 2).cast("int")
+    halves = genome.where("length(seq) > 1").select("chr", F.substring("seq", F.lit(1), half).alias("a"), F.substring("seq", half + 1, half).alias("b"))
     short = dna.packed_distance(dna.packed(F.substring("a", 1, 30)), dna.packed(F.substring("b", 1, 30)))
     return halves.select("chr", dna.hamming(F.col("a"), F.col("b")).cast("long").alias("distance"), short.cast("long").alias("first_distance"))
 
 
+@query(
+    "genome",
+    sql=f""", t AS (SELECT chr, regexp_replace(seq, 'GAT', 'GAN', 'g') AS seq FROM genome), w AS (SELECT chr, CAST(p AS BIGINT) AS p, substr(seq, CAST(p+1 AS BIGINT), {LENGTH}) AS w
+  FROM (SELECT chr, seq, unnest(range(0, length(seq)-{LENGTH}, {STRIDE})) AS p FROM t WHERE length(seq) > {LENGTH})),
+n AS (SELECT chr, CAST(sum(length(seq) - length(replace(seq, 'N', ''))) AS BIGINT) AS n_unknown FROM t GROUP BY chr)
+SELECT n.chr, n_unknown, count(p) FILTER (WHERE w NOT LIKE '%N%') AS n_reads, CAST(sum(p) FILTER (WHERE w NOT LIKE '%N%') AS BIGINT) AS places FROM n LEFT JOIN w ON n.chr = w.chr GROUP BY 1, 2""",
+)
+def reads_without_unknown(genome):
+    """Reads of a genome with unknown bases, and how many of those it has."""
+    spotted = genome.withColumn("seq", F.regexp_replace("seq", "GAT", "GAN"))
+    made = align.generate_reads(spotted, LENGTH, STRIDE).groupBy("chr").agg(F.count("*").alias("n_reads"), F.sum(F.col("start") - 1).alias("places"))
+    return align.genome_stats(spotted).select("chr", "n_unknown").join(made, "chr", "left").withColumn("n_reads", F.coalesce("n_reads", F.lit(0)))
+
+
+# ---- CIGARs ---------------------------------------------------------------------------------------------------------
+
+#: Elements of each read's CIGAR with the read bases and the reference bases before it; then each base with its place.
+_ELEMENTS = """, l AS (SELECT *, regexp_extract_all(cigar, '[0-9]+[MIDNS]') AS list FROM aligned),
+e AS (SELECT read_id, start_pos, seq, reference, i, CAST(regexp_replace(list[i], '[A-Z]', '') AS BIGINT) AS n, right(list[i], 1) AS op FROM (SELECT *, unnest(range(1, length(list) + 1)) AS i FROM l)),
+o AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M','I','S') THEN n ELSE 0 END) OVER x, 0) AS r0, coalesce(sum(CASE WHEN op IN ('M','D','N') THEN n ELSE 0 END) OVER x, 0) AS g0
+  FROM e WINDOW x AS (PARTITION BY read_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT read_id, start_pos, op, CAST(r0 + k + 1 AS BIGINT) AS idx, CASE WHEN op = 'M' THEN CAST(start_pos + g0 + k AS BIGINT) ELSE -1 END AS p, substr(seq, CAST(r0 + k + 1 AS BIGINT), 1) AS base,
+  CASE WHEN op = 'M' THEN substr(reference, CAST(g0 + k + 1 AS BIGINT), 1) END AS ref FROM (SELECT *, unnest(range(0, n)) AS k FROM o WHERE op IN ('M','I','S'))),
+c AS (SELECT read_id, bool_or(x) AS complex, count(*) FILTER (WHERE op IN ('I','D','N')) AS n_indels, CAST(sum(CASE WHEN op IN ('M','D','N') THEN n ELSE 0 END) AS BIGINT) AS span
+  FROM (SELECT *, coalesce(op <> 'M' AND lead(op) OVER (PARTITION BY read_id ORDER BY i) <> 'M', false) AS x FROM e) GROUP BY read_id)"""
+
+
+@query("aligned", sql=_ELEMENTS + """ SELECT b.read_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY idx) AS places, min(span) AS span, count(*) AS n_bases, min(n_indels) AS n_indels, bool_or(complex) AS complex
+FROM b JOIN c ON b.read_id = c.read_id GROUP BY b.read_id""")
+def cigar_walk(reads):
+    """Where each base of a read lies, and what its CIGAR covers and holds."""
+    el = F.col("e")
+    return _long(
+        reads.withColumn("e", cg.parse(F.col("cigar"))).select(
+            "read_id", F.array_join(cg.base_positions(el, F.col("start_pos")), ",").alias("places"), cg.reference_span(el).alias("span"), cg.read_span(el).alias("n_bases"),
+            cg.count_indels(el).alias("n_indels"), cg.is_complex(el).alias("complex"),
+        )
+    )
+
+
+_ASKED = (0, 11, 24, 33, 50, 59, 130)
+
+
+@query("aligned", sql=_ELEMENTS + f""", q AS (SELECT read_id, start_pos + x AS pos FROM (SELECT read_id, start_pos, unnest({list(_ASKED)}) AS x FROM aligned))
+SELECT q.read_id, CAST(q.pos AS BIGINT) AS pos, coalesce(b.base, 'N') AS base FROM q LEFT JOIN b ON b.read_id = q.read_id AND b.p = q.pos""")
+def base_at_positions(reads):
+    """A read's base at reference positions: aligned, deleted, skipped and beyond its end."""
+    asked = reads.withColumn("e", cg.parse(F.col("cigar"))).withColumn("x", F.explode(F.array(*(F.lit(x) for x in _ASKED)))).withColumn("pos", F.col("start_pos") + F.col("x"))
+    return asked.select("read_id", "pos", cg.base_at(F.col("seq"), F.col("e"), F.col("start_pos"), F.col("pos")).alias("base"))
+
+
+@query("aligned", sql=_ELEMENTS + """ SELECT b.read_id, CASE WHEN bool_or(complex) THEN 0 ELSE count(*) FILTER (WHERE op = 'M' AND base <> ref) + min(n_indels) END AS mismatches
+FROM b JOIN c ON b.read_id = c.read_id GROUP BY b.read_id""")
+def mismatch_count(reads):
+    el = cg.parse(F.col("cigar"))
+    return reads.select("read_id", cg.mismatch_count(F.col("seq"), el, F.col("start_pos"), F.col("reference")).cast("long").alias("mismatches"))
+
+
+_CLIP = 5
+
+
+@query(
+    "aligned",
+    sql=_ELEMENTS
+    + f""", g AS (SELECT read_id, string_agg(CASE WHEN op <> 'M' THEN '-' WHEN base = ref THEN '1' ELSE '0' END, '' ORDER BY idx) AS good, count(*) AS n FROM b GROUP BY read_id),
+z AS (SELECT g.read_id, n, complex, greatest(instr(good, '{"1" * _CLIP}'), 1) AS lo, CASE WHEN instr(reverse(good), '{"1" * _CLIP}') > 0 THEN n - instr(reverse(good), '{"1" * _CLIP}') + 1 ELSE greatest(instr(good, '{"1" * _CLIP}'), 1) END AS hi
+  FROM g JOIN c ON g.read_id = c.read_id),
+u AS (SELECT z.*, f.p AS new_start, t.p AS new_end, (lo > 1 OR hi < n) AND n >= {2 * _CLIP} AND NOT complex AND lo <= hi AND f.p > 0 AND t.p > 0 AS clipped
+  FROM z JOIN b f ON f.read_id = z.read_id AND f.idx = z.lo JOIN b t ON t.read_id = z.read_id AND t.idx = z.hi),
+r AS (SELECT b.read_id, idx AS k, 0 AS after, CASE WHEN idx < lo OR idx > hi THEN 'S' ELSE op END AS op, 1 AS n FROM b JOIN u ON b.read_id = u.read_id WHERE clipped
+  UNION ALL SELECT o.read_id, o.r0, 1, o.op, o.n FROM o JOIN u ON o.read_id = u.read_id WHERE clipped AND o.op IN ('D','N') AND o.r0 >= lo AND o.r0 < hi),
+s AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY k, after) - row_number() OVER (PARTITION BY read_id, op ORDER BY k, after) AS run FROM r),
+m AS (SELECT read_id, op, min(k * 2 + after) AS idx, sum(n) AS n FROM s GROUP BY read_id, op, run),
+w AS (SELECT read_id, string_agg(CAST(CAST(n AS BIGINT) AS VARCHAR) || op, '' ORDER BY idx) AS cigar FROM m GROUP BY read_id)
+SELECT a.read_id, CASE WHEN clipped THEN new_start ELSE a.start_pos END AS start, CASE WHEN clipped THEN new_end ELSE a.start_pos + span - 1 END AS "end", CASE WHEN clipped THEN w.cigar ELSE a.cigar END AS cigar
+FROM aligned a JOIN u ON a.read_id = u.read_id JOIN c ON a.read_id = c.read_id LEFT JOIN w ON a.read_id = w.read_id""",
+)
+def soft_clip(reads):
+    el = cg.parse(F.col("cigar"))
+    made = reads.select("read_id", cg.soft_clip(F.col("seq"), el, F.col("start_pos"), F.col("reference"), _CLIP).alias("s"))
+    return _long(made.select("read_id", "s.start", "s.end", cg.to_text(F.col("s.cigar")).alias("cigar")))
+
+
+@query("alleles", sql=""" SELECT var_id, chr, pos, ref_base, alt_base, length(ref_base) <> 1 OR length(alt_base) <> 1 AS indel
+FROM (SELECT var_id, chr, pos, ref_base, unnest(string_split(alt_base, ',')) AS alt_base FROM alleles)""")
+def multi_allelic(variants):
+    """One row for each allele, and which of them change the length."""
+    return annotate.split_alleles(variants).withColumn("indel", annotate.is_indel()).select("var_id", "chr", "pos", "ref_base", "alt_base", "indel")
+
+
 _PER_MILLION, _SEED = 1000, 11
 _DRAWN = "CAST(('0x' || substr(md5({}),1,13)) AS BIGINT)"
 
