@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinstrand.functions import cigar as cg
 from kinstrand.functions import dna
 from kinstrand.operators import align, annotate, build, entries, evaluate, intervals, pileup
-from kinstrand.plans.fixtures import relation, with_views
+from kinstrand.plans.fixtures import MOTIF, relation, with_views
 
 LENGTH, EAR, STRIDE, MOST = 40, 8, 10, 3
 
@@ -452,6 +452,99 @@ def filter_status(v, e):
     return annotate.annotate(v, e, None, None, EngineConfig(too_many=5))[0].select("var_id", "token", "n_links", "filt")
 
 
+_SUPPORT = dict(read_length=60, clip=5, min_mapping_quality=5, hit_count=1, hit_proportion=0.5, tolerance=1, max_tolerance=2, too_many=3, insert_size=200)
+_TURNED = "CASE WHEN strand = '+' THEN {0} ELSE translate({0}, 'ATCG', 'TAGC') END"
+_MOTIF_AT = f"substr('{MOTIF}', CAST(({{p}} - 1 + {{c}} * 13) % 97 + 1 AS BIGINT), 1)"
+#: The inference step by step: reads over variants, clipped; near entries; what each read says of each; support; places.
+_INFERRED = (
+    f""", single AS (SELECT * FROM calls WHERE length(alt_base) = 1),
+entry AS (SELECT row_number() OVER () AS entry_id, * FROM likeness WHERE origin_chr IS NOT NULL),
+near AS (SELECT v.var_id, e.* FROM single v JOIN entry e ON e.align_chr = v.chr AND e.align_start <= v.pos + 60 AND e.align_end >= v.pos - 60),
+good AS (SELECT * FROM mated WHERE NOT unmapped AND NOT duplicate AND mapq >= 5),
+pairs AS (SELECT v.*, r.* EXCLUDE (chr) FROM single v JOIN good r ON r.chr = v.chr AND v.pos BETWEEN r.start_pos AND r.end_pos),
+aligned AS (SELECT * FROM good WHERE read_id IN (SELECT read_id FROM pairs)),
+l AS (SELECT *, regexp_extract_all(cigar, '[0-9]+[MIDNS]') AS list FROM aligned),
+el AS (SELECT read_id, chr, start_pos, seq, i, CAST(regexp_replace(list[i], '[A-Z]', '') AS BIGINT) AS n, right(list[i], 1) AS op FROM (SELECT *, unnest(range(1, length(list) + 1)) AS i FROM l)),
+o AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M','I','S') THEN n ELSE 0 END) OVER x, 0) AS r0, coalesce(sum(CASE WHEN op = 'M' THEN n ELSE 0 END) OVER x, 0) AS g0
+  FROM el WINDOW x AS (PARTITION BY read_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT read_id, chr, op, CAST(r0 + k + 1 AS BIGINT) AS idx, CASE WHEN op = 'M' THEN CAST(start_pos + g0 + k AS BIGINT) ELSE -1 END AS p, substr(seq, CAST(r0 + k + 1 AS BIGINT), 1) AS base
+  FROM (SELECT *, unnest(range(0, n)) AS k FROM o)),
+d AS (SELECT *, CASE WHEN op <> 'M' THEN '-' WHEN base = {_MOTIF_AT.format(p="p", c="chr")} THEN '1' ELSE '0' END AS same FROM b),
+z AS (SELECT read_id, string_agg(same, '' ORDER BY idx) AS good, count(*) AS n FROM d GROUP BY read_id),
+"""
+    + """lh AS (SELECT *, greatest(instr(good, '11111'), 1) AS lo, CASE WHEN instr(reverse(good), '11111') > 0 THEN n - instr(reverse(good), '11111') + 1 ELSE greatest(instr(good, '11111'), 1) END AS hi FROM z),
+cl AS (SELECT lh.*, f.p AS new_start, t.p AS new_end, (lo > 1 OR hi < n) AND lo <= hi AND f.p > 0 AND t.p > 0 AS cut
+  FROM lh JOIN b f ON f.read_id = lh.read_id AND f.idx = lo JOIN b t ON t.read_id = lh.read_id AND t.idx = hi),
+cut_read AS (SELECT c.read_id, min(CASE WHEN cut THEN new_start ELSE a.start_pos END) AS s, min(CASE WHEN cut THEN new_end ELSE a.end_pos END) AS e,
+    min(CASE WHEN cut THEN lo - 1 WHEN a.cigar LIKE '7S%' THEN 7 ELSE 0 END) AS lead, bool_or(d.op = 'I' AND (NOT cut OR d.idx BETWEEN lo AND hi)) AS inserted,
+    count(*) FILTER (WHERE same = '0' AND (NOT cut OR d.idx BETWEEN lo AND hi)) + CAST(bool_or(d.op = 'I' AND (NOT cut OR d.idx BETWEEN lo AND hi)) AS INT) AS mism,
+    count(*) FILTER (WHERE same = '0') + CAST(bool_or(d.op = 'I') AS INT) AS mism0
+  FROM cl c JOIN aligned a ON a.read_id = c.read_id JOIN d ON d.read_id = c.read_id GROUP BY c.read_id),
+seen AS (SELECT p.var_id, p.chr, p.pos, p.ref_base, p.alt_base, p.read_id, p.seq, p.mate_chr, p.mate_start, coalesce(b.base, 'N') AS base,
+    CASE WHEN p.pos BETWEEN c.s AND c.e THEN c.s ELSE p.start_pos END AS start_pos, CASE WHEN p.pos BETWEEN c.s AND c.e THEN c.e ELSE p.end_pos END AS end_pos,
+    CASE WHEN p.pos BETWEEN c.s AND c.e THEN c.lead WHEN p.cigar LIKE '7S%' THEN 7 ELSE 0 END AS lead, CASE WHEN p.pos BETWEEN c.s AND c.e THEN c.inserted ELSE p.cigar LIKE '%I%' END AS inserted,
+    CASE WHEN p.pos BETWEEN c.s AND c.e THEN c.mism ELSE c.mism0 END AS mism
+  FROM pairs p JOIN cut_read c ON c.read_id = p.read_id LEFT JOIN b ON b.read_id = p.read_id AND b.p = p.pos),
+per AS (SELECT v.var_id, v.var_id IN (SELECT var_id FROM near) AS is_near, count(s.base) FILTER (WHERE s.base = s.alt_base) AS n_alt, count(s.base) FILTER (WHERE s.base = s.alt_base AND NOT inserted AND mism <= 3) AS n_clean
+  FROM single v LEFT JOIN seen s ON s.var_id = v.var_id GROUP BY 1),
+per2 AS (SELECT *, greatest(1, CAST(floor(0.5 * n_alt) AS INT)) AS threshold FROM per),
+around AS (SELECT DISTINCT e.align_chr, e.align_start, e.align_end FROM single v JOIN entry e ON e.align_chr = v.chr AND e.align_start <= v.pos + 200 AND e.align_end >= v.pos - 200),
+mate AS (SELECT DISTINCT s.read_id, s.chr FROM seen s JOIN around a ON a.align_chr = s.chr AND s.mate_start <= a.align_end AND s.mate_start + length(s.seq) - 1 >= a.align_start WHERE s.mate_chr = s.chr),
+sup AS (SELECT *, mate_chr <> chr OR read_id IN (SELECT read_id FROM mate) AS mate_ok FROM seen s WHERE base = alt_base AND NOT inserted AND mism <= 3),
+inn AS (SELECT s.*, n.* EXCLUDE (var_id) FROM sup s JOIN near n ON n.var_id = s.var_id WHERE s.start_pos >= n.align_start AND s.end_pos <= n.align_end
+  AND (mate_ok OR (align_chr = origin_chr AND align_start <= origin_end AND origin_start <= align_end))),
+judged AS (SELECT *, CAST(a1 BETWEEN start_pos AND end_pos AS INT) + CAST(a2 BETWEEN start_pos AND end_pos AS INT) + CAST(a3 BETWEEN start_pos AND end_pos AS INT) AS here,
+    CAST(a1 BETWEEN start_pos AND end_pos AND substr(seq, a1 - start_pos + 1 + lead, 1) = 'A' AS INT) + CAST(a2 BETWEEN start_pos AND end_pos AND substr(seq, a2 - start_pos + 1 + lead, 1) = 'C' AS INT)
+      + CAST(a3 BETWEEN start_pos AND end_pos AND substr(seq, a3 - start_pos + 1 + lead, 1) = 'G' AS INT) AS shown,
+    CASE WHEN strand = '+' THEN origin_start + start_pos - align_start ELSE origin_start + align_end - end_pos END AS low, CASE WHEN strand = '+' THEN origin_start + end_pos - align_start ELSE origin_start + align_end - start_pos END AS high FROM inn),
+called AS (SELECT chr AS vchr, pos AS vpos, count(*) AS times FROM single GROUP BY 1, 2),
+tol AS (SELECT j.var_id, j.read_id, j.entry_id, least(2, 1 + coalesce(sum(c.times), 0)) AS allowed FROM judged j LEFT JOIN called c ON c.vchr = j.origin_chr AND c.vpos BETWEEN j.low AND j.high GROUP BY 1, 2, 3),
+agreed AS (SELECT j.var_id, j.entry_id, count(*) AS n, min(start_pos) AS s, max(end_pos) AS e FROM judged j JOIN tol t ON t.var_id = j.var_id AND t.read_id = j.read_id AND t.entry_id = j.entry_id
+  WHERE here <= allowed OR shown >= here - allowed GROUP BY 1, 2),
+lk AS (SELECT v.var_id, v.chr, v.pos, v.ref_base, v.alt_base, a.s, a.e, n.* EXCLUDE (var_id) FROM agreed a JOIN per2 p ON p.var_id = a.var_id AND a.n >= p.threshold JOIN near n ON n.var_id = a.var_id AND n.entry_id = a.entry_id
+  JOIN single v ON v.var_id = a.var_id),
+anch AS (SELECT *, a1 AS ap, 'A' AS ab FROM lk UNION ALL SELECT *, a2, 'C' FROM lk UNION ALL SELECT *, a3, 'G' FROM lk),
+on_anchor AS (SELECT *, bool_or(ap = pos AND ab = alt_base) OVER w AS onto, count(*) FILTER (WHERE ap BETWEEN s AND e) OVER w AS spanned FROM anch WINDOW w AS (PARTITION BY var_id, entry_id)),
+"""
+    + f"""placed AS (SELECT var_id, chr, pos, origin_chr AS to_chr, CASE WHEN strand = '+' THEN origin_start + ap - align_start ELSE origin_start + align_end - ap END AS to_pos,
+    {_TURNED.format("ab")} AS to_ref, CASE WHEN spanned = 1 AND ap = pos THEN {_TURNED.format("alt_base")} ELSE {_TURNED.format("'T'")} END AS to_alt, true AS by_anchor FROM on_anchor WHERE onto AND ap BETWEEN s AND e
+  UNION ALL SELECT DISTINCT var_id, chr, pos, origin_chr, CASE WHEN strand = '+' THEN origin_start + pos - align_start ELSE origin_start + align_end - pos END, {_TURNED.format("ref_base")}, {_TURNED.format("alt_base")}, false FROM on_anchor WHERE NOT onto),
+links AS (SELECT var_id, to_chr, to_pos, min(to_ref || to_alt) AS bases FROM placed WHERE (to_chr <> chr OR to_pos <> pos) AND (NOT by_anchor OR to_ref <> to_alt) GROUP BY 1, 2, 3),
+n_of AS (SELECT var_id, count(*) AS n FROM links GROUP BY 1),
+unknown AS (SELECT DISTINCT v.var_id FROM single v JOIN likeness e ON e.origin_chr IS NULL AND e.align_chr = v.chr AND v.pos BETWEEN e.align_start AND e.align_end),
+state AS (SELECT v.var_id, coalesce(n, 0) AS n, CASE WHEN length(v.alt_base) > 1 OR NOT coalesce(p.is_near, false) THEN 'pass' WHEN n_clean < threshold THEN 'thesaurushard'
+    WHEN coalesce(n, 0) > 3 OR v.var_id IN (SELECT var_id FROM unknown) THEN 'thesaurusmany' WHEN coalesce(n, 0) = 0 THEN 'pass' ELSE 'thesaurus' END AS token
+  FROM calls v LEFT JOIN per2 p ON p.var_id = v.var_id LEFT JOIN n_of l ON l.var_id = v.var_id)"""
+)
+
+
+def _inferred(v, likeness, mated, chromosomes):
+    from kinstrand.config import EngineConfig
+
+    def anchor(c: str, base: str):
+        place = entries.lift_position(F.col(c)).cast("long")
+        return F.struct(
+            F.col(c).alias("align_pos"), place.alias("origin_pos"), F.lit("T").alias("align_ref"), F.lit(base).alias("align_alt"),
+            entries.lift_base(F.lit(base)).alias("origin_ref"), entries.lift_base(F.lit("T")).alias("origin_alt"),
+        )
+
+    made = likeness.withColumn("anchors", F.array(anchor("a1", "A"), anchor("a2", "C"), anchor("a3", "G")).cast(entries.ANCHORS)).drop("a1", "a2", "a3")
+    reads = mated.withColumn("cigar", cg.parse(F.col("cigar")))
+    return annotate.annotate(v, made, reads, chromosomes, EngineConfig(**_SUPPORT))
+
+
+@query("calls", "likeness", "mated", "chromosomes", sql=_INFERRED + " SELECT var_id, token, CASE WHEN token IN ('thesaurus', 'thesaurusmany') THEN n ELSE 0 END AS n_links FROM state")
+def filter_with_reads(v, likeness, mated, chromosomes):
+    """The state of every variant by clipped reads, mates, anchors and entries of known and unknown origin."""
+    return _inferred(v, likeness, mated, chromosomes)[0].select("var_id", "token", "n_links")
+
+
+@query("calls", "likeness", "mated", "chromosomes", sql=_INFERRED + " SELECT l.var_id, to_chr, to_pos, bases[1] AS to_ref, bases[2] AS to_alt FROM links l JOIN state s ON s.var_id = l.var_id WHERE token = 'thesaurus'")
+def links_with_reads(v, likeness, mated, chromosomes):
+    """The places where linked variants may lie, as reads support them."""
+    return _inferred(v, likeness, mated, chromosomes)[1].select("var_id", "to_chr", "to_pos", "to_ref", "to_alt")
+
+
 _COUNTS = """, seen AS (SELECT v.chr, v.pos, substr(seq, CAST(v.pos - start_pos + 1 AS BIGINT), 1) AS base FROM (SELECT DISTINCT chr, pos FROM variants) v
   JOIN reads r ON r.chr = v.chr AND v.pos BETWEEN r.start_pos AND r.end_pos WHERE NOT unmapped AND NOT duplicate AND mapq >= {m}),
 counts AS (SELECT chr, pos, count(*) FILTER (WHERE base='A') AS n_a, count(*) FILTER (WHERE base='T') AS n_t, count(*) FILTER (WHERE base='C') AS n_c,
