@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from kinstrand import __version__
 from kinstrand.config import EngineConfig
-from kinstrand.operators import align, annotate, build, entries, evaluate, pileup
+from kinstrand.functions import cigar as cg
+from kinstrand.operators import align, annotate, build, entries, evaluate, intervals, pileup
 from kinstrand.plans.storage import materialize
 from kinstrand.sources import bam, text
 
@@ -62,16 +63,17 @@ def align_reads(spark, a):
     from pyspark.sql import Window as W
 
     chromosomes = lengths.withColumn("chr_idx", F.row_number().over(W.orderBy("chr")))
-    text.write_sam(align.sam_rows(found, cfg.read_length), a.output, chromosomes)
+    text.write_sam(align.all_sam_rows(reads, found, over, cfg.read_length), a.output, chromosomes)
     text.write_bed(align.unaligned(reads, found), f"{a.output}.unaligned")
 
 
 def write(spark, a):
     cfg = _config(a)
     genome = text.read_fasta(spark, cfg.genome)
-    rows = reduce(DataFrame.unionByName, (_reads(spark, p) for p in a.bam))
+    rows = materialize(reduce(DataFrame.unionByName, (_reads(spark, p) for p in a.bam)), "alignments")
     place = r"^T\d+;(.*):(\d+)-(\d+)"
-    found = rows.where("NOT unmapped").select(
+    plain = ~F.col("unmapped") & cg.is_plain(F.col("cigar")) & (F.col("mapq") >= cfg.min_mapping_quality)
+    found = rows.where(plain).select(
         F.regexp_extract("qname", place, 1).alias("origin_chr"), F.regexp_extract("qname", place, 2).cast("long").alias("origin_start"), F.col("chr").alias("align_chr"),
         F.col("start_pos").alias("align_start"), F.when(F.col("reverse"), "-").otherwise("+").alias("strand"), (cfg.read_length - F.col("mapq")).alias("mismatches"),
     )
@@ -81,6 +83,12 @@ def write(spark, a):
         merged = build.greedy_merge(made, genome, cfg.read_length, cfg.penalty, cfg.bucket)
     else:
         merged = build.extend(entries.merge_diagonals(made).drop("n_merged"), genome, cfg.read_length, cfg.penalty, bucket=cfg.bucket)
+    # reads without a place: regions, and entries whose origin is unknown
+    start = F.regexp_extract("qname", place, 2).cast("long")
+    lost = rows.where("unmapped").select(F.regexp_extract("qname", place, 1).alias("chr"), start.alias("s"), (start + cfg.read_length - 1).alias("e")).where("s IS NOT NULL")
+    regions = intervals.union_runs(lost, ["chr"], "s", "e").select("chr", (F.col("s") - 1).alias("start0"), F.col("e").alias("end0"))
+    text.write_bed(regions, f"{a.output}.unmapped.bed")
+    merged = merged.unionByName(build.unmapped_entries(regions).select(*merged.columns))
     text.write_table(entries.in_table_order(merged), a.output, [f"readlength={cfg.read_length}", f"maxpenalty={cfg.penalty}"])
 
 

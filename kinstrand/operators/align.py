@@ -17,15 +17,43 @@ def genome_stats(genome: DataFrame) -> DataFrame:
     return genome.select("chr", F.length("seq").cast("long").alias("length"), count_unknown(F.col("seq")).cast("long").alias("n_unknown"))
 
 
-def windows(genome: DataFrame, length: int, stride: int = 1, offset: int = 0) -> DataFrame:
+#: Bases of a genome in one tile.
+TILE = 1 << 16
+
+
+def tiles(genome: DataFrame, overlap: int = 0, size: int = TILE) -> DataFrame:
+    """``chr, first, b, length``: pieces of ``size`` bases from 0-based ``first`` on and ``overlap`` more, spread over the
+    tasks of a shuffle, so that nothing after this handles a chromosome as one value. ``length``: of the chromosome."""
+    n = F.length("seq")
+    firsts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
+    cut = genome.select("chr", F.col("seq").cast("binary").alias("b"), n.alias("length"), F.explode(firsts).alias("first"))
+    cut = cut.select("chr", "first", F.substring("b", F.col("first") + 1, F.lit(size + overlap)).alias("b"), "length")
+    return cut.repartition(int(genome.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chr", "first")
+
+
+def windows(genome: DataFrame, length: int, stride: int = 1, offset: int = 0, size: int = TILE) -> DataFrame:
     """``chr, p, w``: windows from 0-based ``offset`` on, every ``stride``; the very last position is not a window."""
     if stride < 1:
         raise ValueError("stride must be at least 1")
-    last = F.length("seq") - length - 1
-    starts = F.when(last >= offset, F.sequence(F.lit(offset), last, F.lit(stride)))
-    return genome.select("chr", F.col("seq").cast("binary").alias("b"), F.explode(starts).alias("p")).select(
-        "chr", F.col("p").cast("long").alias("p"), bases_at(F.col("b"), F.col("p"), length).alias("w")
-    )
+    # the first window of a tile, and its last one: within the tile and short of the very last position
+    low = F.greatest(F.col("first"), F.lit(offset))
+    start = low + F.pmod(F.lit(offset) - low, F.lit(stride))
+    last = F.least(F.col("first") + size, F.col("length") - length) - 1
+    each = tiles(genome, length - 1, size).select("chr", "first", "b", F.explode(F.when(last >= start, F.sequence(start, last, F.lit(stride)))).alias("p"))
+    return each.select("chr", F.col("p").cast("long").alias("p"), bases_at(F.col("b"), F.col("p") - F.col("first"), length).alias("w"))
+
+
+def reference_under(spans: DataFrame, genome: DataFrame, size: int = TILE) -> DataFrame:
+    """``chr, start, span, reference``: the genome's bases of each different span (1-based start), put together from the
+    tiles that it touches."""
+    from_tile, to_tile = F.floor((F.col("start") - 1) / size) * size, F.floor((F.col("start") + F.col("span") - 2) / size) * size
+    touched = spans.select("chr", "start", "span").distinct().where("span > 0 AND start > 0").withColumn("first", F.explode(F.sequence(from_tile, to_tile, F.lit(size).cast("long"))))
+    both = touched.join(tiles(genome, 0, size).select("chr", F.col("first").cast("long").alias("first"), "b"), ["chr", "first"])
+    inside = F.greatest(F.col("start") - 1 - F.col("first"), F.lit(0))
+    until = F.least(F.col("start") - 1 + F.col("span") - F.col("first"), F.lit(size))
+    pieces = both.select("chr", "start", "span", "first", F.substring("b", (inside + 1).cast("int"), (until - inside).cast("int")).cast("string").alias("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "piece"))), lambda x: x["piece"]), "")
+    return pieces.groupBy("chr", "start", "span").agg(whole.alias("reference"))
 
 
 def read_name(length: int, chromosome: Column, start: Column) -> Column:
@@ -157,9 +185,26 @@ def entries_of_hits(found: DataFrame, genome: DataFrame, length: int) -> DataFra
 def sam_rows(found: DataFrame, length: int) -> DataFrame:
     """Hits as alignment rows: flags tell strand and whether the place is the read's own; mapping quality is the number of
     matching bases."""
-    primary = (F.col("origin_chr") == F.col("align_chr")) & (F.col("origin_start") == F.col("align_start"))
+    primary = (F.col("origin_chr") == F.col("align_chr")) & (F.col("origin_start") == F.col("align_start")) & (F.col("strand") == "+")
     flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(primary, 0).otherwise(256)
     return found.select(
-        F.substring(read_name(length, F.col("origin_chr"), F.col("origin_start")), 2, 1 << 20).alias("qname"), flag.alias("flag"), F.col("align_chr").cast("string").alias("rname"),
+        _qname(length).alias("qname"), flag.alias("flag"), F.col("align_chr").cast("string").alias("rname"),
         F.col("align_start").alias("pos"), (F.lit(length) - F.col("mismatches")).alias("mapq"), F.lit(f"{length}M").alias("cigar"), F.repeat(F.lit("s"), F.lit(length)).alias("qual"),
     )
+
+
+def _qname(length: int) -> Column:
+    return F.substring(read_name(length, F.col("origin_chr"), F.col("origin_start")), 2, 1 << 20)
+
+
+def all_sam_rows(reads: DataFrame, found: DataFrame, over: DataFrame, length: int) -> DataFrame:
+    """Every read in ``sam_rows``: its own place, which is primary, and its hits; or, with too many close hits, one row
+    that is unmapped."""
+    key = ["origin_chr", "origin_start"]
+    names = reads.select(F.col("chr").alias("origin_chr"), F.col("start").alias("origin_start"))
+    crowded = over.select(*key).distinct()
+    own = names.join(crowded, key, "left_anti").select(*key, F.col("origin_chr").alias("align_chr"), F.col("origin_start").alias("align_start"), F.lit("+").alias("strand"), F.lit(0).alias("mismatches"))
+    lost = crowded.select(
+        _qname(length).alias("qname"), F.lit(4).alias("flag"), F.lit("*").alias("rname"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("mapq"), F.lit("*").alias("cigar"), F.repeat(F.lit("s"), F.lit(length)).alias("qual")
+    )
+    return sam_rows(own.unionByName(found.select(*own.columns)), length).unionByName(lost)

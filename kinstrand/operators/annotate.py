@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinstrand.config import EngineConfig
 from kinstrand.functions import cigar as cg
 from kinstrand.functions.dna import complement
+from kinstrand.operators.align import reference_under
 from kinstrand.operators.entries import lift_base, lift_position, lift_span, self_overlaps
 from kinstrand.operators.intervals import overlap_join, overlap_semi, stab_join
 from kinstrand.operators.pileup import covering, usable
@@ -80,11 +81,12 @@ def _distinct_places(placed: DataFrame) -> DataFrame:
 
 def clipped(pairs: DataFrame, genome: DataFrame, clip: int) -> DataFrame:
     """Pairs of variant and read with the read soft-clipped at its ends, unless that would take the variant's base, and the
-    number of the read's mismatches. Needs ``cigar``; ``genome`` (chr, seq) is joined by chromosome."""
-    from kinstrand.functions.dna import bases_at
-
-    known = genome.select(F.col("chr").alias("_chr"), F.col("seq").cast("binary").alias("_seq"))
-    work = pairs.join(known, pairs["chr"] == F.col("_chr")).withColumn("_ref", bases_at(F.col("_seq"), (F.col("start_pos") - 1).cast("int"), cg.reference_span(F.col("cigar")))).drop("_seq", "_chr")
+    number of the read's mismatches. Needs ``cigar``; what ``genome`` (chr, seq) has under the reads is joined by tiles."""
+    spanned = pairs.withColumn("_span", cg.reference_span(F.col("cigar")).cast("long"))
+    under = reference_under(spanned.select("chr", F.col("start_pos").cast("long").alias("start"), F.col("_span").alias("span")), genome)
+    under = under.select(F.col("chr").alias("_chr"), F.col("start").alias("_from"), F.col("span").alias("_of"), F.col("reference").alias("_ref"))
+    same = (spanned["chr"] == under["_chr"]) & (spanned["start_pos"] == under["_from"]) & (spanned["_span"] == under["_of"])
+    work = spanned.join(under, same).drop("_chr", "_from", "_of", "_span")
     work = work.withColumn("n_mismatches", cg.mismatch_count(F.col("seq"), F.col("cigar"), F.col("start_pos"), F.col("_ref")))
     work = work.withColumn("_clip", cg.soft_clip(F.col("seq"), F.col("cigar"), F.col("start_pos"), F.col("_ref"), clip))
     keep = F.col("pos").between(F.col("_clip.start"), F.col("_clip.end"))

@@ -86,3 +86,33 @@ def test_values(spark):
     reg = spark.createDataFrame([(1, 9, 1, "a"), (1, 2, 100, "b"), (2, 1, 9, "c")], "rchr long, s long, e long, name string")
     got = {r["p"]: (r["labels"], r["n_intervals"]) for r in iv.values_at(pts, reg, [("chr", "rchr")], "p", "s", "e", "name").collect()}
     assert got == {5: ("a,b", 2), 50: ("b", 1)}
+
+
+def test_tiles_of_a_genome(spark):
+    """Windows and references do not depend on where tiles end."""
+    import random
+
+    from kinstrand.operators import align
+
+    rng = random.Random(9)
+    seqs = {c: "".join(rng.choice("ATCGN") for _ in range(n)) for c, n in (("a", 157), ("b", 64), ("c", 3), ("d", 0), ("e", 65))}
+    genome = spark.createDataFrame([*seqs.items(), ("f", None)], "chr string, seq string")
+    for size in (5, 16, 64, 1000):
+        for length, stride, offset in ((7, 1, 0), (4, 3, 2), (20, 9, 50), (1, 64, 0)):
+            got = sorted(map(tuple, align.windows(genome, length, stride, offset, size).collect()))
+            assert got == sorted((c, p, s[p : p + length]) for c, s in seqs.items() for p in range(offset, len(s) - length, stride)), (size, length)
+        spans = [("a", 1, 157), ("a", 60, 10), ("a", 64, 1), ("a", 16, 17), ("b", 64, 1), ("c", 1, 3), ("a", 60, 10)]
+        got = sorted(map(tuple, align.reference_under(spark.createDataFrame(spans, "chr string, start long, span long"), genome, size).collect()))
+        assert got == sorted({(c, s, n, seqs[c][s - 1 : s - 1 + n]) for c, s, n in spans})
+    plan = align.generate_reads(genome, 7, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(chr" in plan
+
+
+def test_alignment_rows_of_every_read(spark):
+    from kinstrand.operators import align
+
+    reads = spark.createDataFrame([("a", 1, "x"), ("a", 11, "x"), ("b", 5, "x")], "chr string, start long, seq string")
+    found = spark.createDataFrame([("a", 1, "b", 7, "-", 2)], "origin_chr string, origin_start long, align_chr string, align_start long, strand string, mismatches int")
+    over = spark.createDataFrame([("b", 5, 900)], "origin_chr string, origin_start long, n_close long")
+    got = sorted((r["qname"], r["flag"], r["rname"], r["pos"], r["mapq"], r["cigar"]) for r in align.all_sam_rows(reads, found, over, 10).collect())
+    assert got == [("T10;a:1-10", 0, "a", 1, 10, "10M"), ("T10;a:1-10", 272, "b", 7, 8, "10M"), ("T10;a:11-20", 0, "a", 11, 10, "10M"), ("T10;b:5-14", 4, "*", 0, 0, "*")]

@@ -112,8 +112,15 @@ def test_commands(spark, tmp_path, capsys):
     run = lambda *a: cli.main(list(a))
     run("generate", g, f"--output={t}/reads", "--read-length=40", "--divisor=5")
     run("align", g, f"--input={t}/reads", f"--output={t}/hits.sam", "--read-length=40", "--ear-length=6")
-    run("write", g, f"--bam={t}/hits.sam", f"--output={t}/table", "--read-length=40")
+    lines = [r[0].split("\t") for r in spark.read.text(f"{t}/hits.sam").collect() if not r[0].startswith("@")]
+    assert sum(x[1] == "0" for x in lines) == len({x[0] for x in lines}) and any(x[1] == "256" for x in lines)
+    # a read that the aligner gave up, one with an insertion and one of low quality
+    put(tmp_path / "more.sam", "T40;c1:101-140\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\nT40;c2:1-40\t256\tc1\t3\t40\t20M1I19M\t*\t0\t0\t*\t*\n")
+    run("write", g, f"--bam={t}/hits.sam", f"--bam={t}/more.sam", f"--output={t}/table", "--read-length=40")
+    assert [tuple(r) for r in text.read_bed(spark, f"{t}/table.unmapped.bed").collect()] == [("c1", 100, 140)]
     table = text.read_table(spark, f"{t}/table")
+    unknown = table.where("origin_chr IS NULL").collect()
+    assert [(r["align_chr"], r["align_start"], r["align_end"]) for r in unknown] == [("c1", 101, 140)] and table.where("align_start = 3 AND origin_start = 1").count() == 0
     assert table.where("align_end - align_start >= 100").count() >= 2
     for what in ("align", "origin", "coverage"):
         run("summarize", f"--table={t}/table", f"--output={t}/{what}", f"--what={what}")
