@@ -59,6 +59,7 @@ def align_reads(spark, a):
     cfg = _config(a)
     genome, reads = text.read_fasta(spark, cfg.genome), text.read_reads(spark, a.input)
     found, over = align.capped_hits(reads, genome, cfg.read_length, cfg.ear_length, cfg.mismatches, cfg.too_many_hits, both_strands=True)
+    found = materialize(found, "hits")  # used twice
     lengths = genome.select("chr", F.length("seq").alias("length"))
     from pyspark.sql import Window as W
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinstrand.functions.dna import PACKED, bases_at, count_unknown, packed, packed_distance, reverse_complement, unknown_bits
 from kinstrand.operators.entries import ANCHORS
 from kinstrand.operators.intervals import stab_join, union_runs
+from kinstrand.plans.storage import materialize
 
 
 def genome_stats(genome: DataFrame) -> DataFrame:
@@ -132,15 +133,23 @@ def cap_hits(found: DataFrame, reads: DataFrame, too_many: int, close: int = 1)
     return found.join(over, key, "left_anti"), names.join(over, key).select(*key, "n_close")
 
 
-def capped_hits(reads: DataFrame, genome: DataFrame, length: int, ear: int, mismatches: int, too_many: int, both_strands: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``hits`` and ``cap_hits`` in one. Reads with over ``too_many`` exact copies are over the cap without being joined, so
-    that no seed joins more copies of itself than that."""
-    copies = windows(genome, length).groupBy("w").agg(F.count("*").alias("n"))
-    crowded = copies.where(F.col("n") - 1 > too_many).select(F.col("w").alias("seq"))
-    few = reads.join(crowded, "seq", "left_anti")
-    found, over = cap_hits(hits(few, genome, length, ear, mismatches, both_strands), few, too_many)
-    certain = reads.join(copies.where(F.col("n") - 1 > too_many).withColumnRenamed("w", "seq"), "seq")
-    return found, over.unionByName(certain.select(F.col("chr").alias("origin_chr"), F.col("start").alias("origin_start"), (F.col("n") - 1).alias("n_close")))
+def capped_hits(reads: DataFrame, genome: DataFrame, length: int, ear: int, mismatches: int, too_many: int, both_strands: bool = False, close: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``hits`` and ``cap_hits`` in one, without building the hits of reads over the cap.
+
+    Reads with over ``too_many`` exact copies are over the cap without being joined, so that no seed joins more copies of
+    itself than that. The others' close hits are only counted, where they are found; who is over the cap then is stored, and
+    only the rest is joined for all hits.
+    """
+    key = ["origin_chr", "origin_start"]
+    named = [F.col("chr").alias("origin_chr"), F.col("start").alias("origin_start")]
+    copies = windows(genome, length).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") - 1 > too_many)
+    crowded = materialize(copies.withColumnRenamed("w", "seq"), "crowded-windows")
+    few = reads.join(crowded.select("seq"), "seq", "left_anti")
+    near = hits(few, genome, length, ear, min(close, mismatches), both_strands).groupBy(*key).agg(F.count("*").alias("n_close")).where(F.col("n_close") > too_many)
+    over = materialize(near, "over-the-cap")
+    kept = few.join(over.select(F.col("origin_chr").alias("chr"), F.col("origin_start").alias("start")), ["chr", "start"], "left_anti")
+    certain = reads.join(crowded, "seq").select(*named, (F.col("n") - 1).alias("n_close"))
+    return hits(kept, genome, length, ear, mismatches, both_strands), over.unionByName(certain)
 
 
 def unaligned(reads: DataFrame, found: DataFrame) -> DataFrame:
