@@ -147,7 +147,7 @@ RULES = [
     ("reserved", "LicenseRef-all-rights-reserved", ["reserved"], 3),
 ]
 #: Every known sentence has one of these words, whatever stands between its words.
-HINT = r"(?i)licen[sc]e|permission|permitted|redistribut|copyright|warrant|liab|software|domain|spdx|hope|reserved|affirmer|commons|endorse|altered|modif|terms|recipient|obtain"
+HINT = r"(?i)licen[sc]e|permission|permitted|redistribut|copyright|warrant|liab|software|domain|spdx|hope|reserved|affirmer|commons|endorse|altered|modif|terms|recipient|obtain|\bcc"
 
 _KINDS = {"lesser": "L", "library": "L", "affero": "A", "zero": "0"}
 _CC_WORDS = {"attribution": "BY", "noncommercial": "NC", "sharealike": "SA", "noderivatives": "ND", "noderivs": "ND"}
