@@ -278,6 +278,28 @@ def soft_clip(reads):
     return _long(made.select("read_id", "s.start", "s.end", cg.to_text(F.col("s.cigar")).alias("cigar")))
 
 
+_LONGEST = 3
+
+
+@query("aligned", sql=""" SELECT read_id, regexp_full_match(cigar, '[0-9]+M') AS plain, regexp_matches(cigar, '[IDN]') AS interrupted,
+  regexp_matches(cigar, '(^|[A-Z])([4-9]|[0-9][0-9]+)[ID]') AS long_indel FROM aligned""")
+def cigar_filters(reads):
+    """Which reads are one stretch of matches, which are interrupted, and which have a long insertion or deletion."""
+    el = F.col("e")
+    return reads.withColumn("e", cg.parse(F.col("cigar"))).select(
+        "read_id", cg.is_plain(el).alias("plain"), cg.has_indel_or_splice(el).alias("interrupted"), cg.has_long_indel(el, _LONGEST).alias("long_indel")
+    )
+
+
+@query("aligned", sql=""", k AS (SELECT read_id, CAST(p AS BIGINT) AS p, substr(seq, CAST(p AS BIGINT), 6) AS w FROM (SELECT read_id, seq, unnest(range(1, 56)) AS p FROM aligned))
+SELECT read_id, CAST(sum(CASE WHEN w LIKE '%N%' THEN -1 ELSE (strpos('ATCG', w[1]) - 1) * 1024 + (strpos('ATCG', w[2]) - 1) * 256 + (strpos('ATCG', w[3]) - 1) * 64 + (strpos('ATCG', w[4]) - 1) * 16
+  + (strpos('ATCG', w[5]) - 1) * 4 + strpos('ATCG', w[6]) - 1 END) AS BIGINT) AS codes FROM k GROUP BY read_id""")
+def kmer_codes(reads):
+    """The sum of the numbers of all 6-mers of a read; -1 for those with an unknown base."""
+    codes = F.transform(F.sequence(F.lit(1), F.lit(55)), lambda p: dna.kmer_code(F.substring(F.col("seq"), p, F.lit(6)), 6))
+    return reads.select("read_id", F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x).alias("codes"))
+
+
 @query("alleles", sql=""" SELECT var_id, chr, pos, ref_base, alt_base, length(ref_base) <> 1 OR length(alt_base) <> 1 AS indel
 FROM (SELECT var_id, chr, pos, ref_base, unnest(string_split(alt_base, ',')) AS alt_base FROM alleles)""")
 def multi_allelic(variants):
@@ -664,6 +686,16 @@ least_id AS (SELECT id, min(reach) AS reach FROM reached GROUP BY id)
 SELECT c.id, coalesce(l.reach, c.id) AS cluster FROM called c LEFT JOIN least_id l ON l.id = c.id"""
 )
 
+
+@query("variants", "links")
+def network_cluster_count(v, links):
+    """How many clusters a network has, and how many called variants are alone."""
+    sizes = evaluate.clusters(_vertices(v), links).groupBy("cluster").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("n_clusters"), F.count_if(F.col("n") == 1).alias("n_alone"))
+
+
+ORACLE_SQL["network_cluster_count"] = f"SELECT count(*) AS n_clusters, count(*) FILTER (WHERE n = 1) AS n_alone FROM (SELECT cluster, count(*) AS n FROM ({ORACLE_SQL['network_clusters']}) GROUP BY cluster)"
+
 _TRUTH = """, called AS (SELECT * FROM variants WHERE priority <> '5-LOW'), truth AS (SELECT DISTINCT chr, pos FROM variants WHERE priority IN ('1-URGENT','2-HIGH','5-LOW')),
 far AS (SELECT l.from_id AS var_id, l.rank, t.chr AS to_chr, t.pos AS to_pos FROM links l JOIN variants t ON t.var_id = l.to_id WHERE l.from_id <> l.to_id),
 per AS (SELECT var_id, count(*) AS n, min(rank) FILTER (WHERE EXISTS (SELECT 1 FROM truth t WHERE t.chr = to_chr AND t.pos = to_pos)) AS r FROM far GROUP BY 1),
