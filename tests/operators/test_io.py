@@ -130,6 +130,9 @@ def test_commands(spark, tmp_path, capsys):
     put(tmp_path / "g.fa.fai", "c2\t210\nc1\t240\n")
     run("reorder", f"--table={t}/table", g, f"--output={t}/re")
     run("check", f"--table={t}/table")
+    run("check", f"--table={t}/table", "--check=trivial")
+    numbered = cli._numbered(spark.range(0, 1000, 1, 7).toDF("x")).collect()
+    assert sorted(r["row_id"] for r in numbered) == list(range(1000)) and all(r["row_id"] == r["x"] for r in numbered)
     pos = 100
     put(tmp_path / "v.vcf", f"##fileformat=VCFv4.1\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\nc1\t{pos}\t.\tA\tC\t9\t.\tX\tGT\t0/1\nc1\t3\t.\tA\tC\t9\t.\tX\tGT\t0/1\n")
     run("filter", g, f"--vcf={t}/v.vcf", f"--table={t}/table", f"--output={t}/f", "--read-length=40")
