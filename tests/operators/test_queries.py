@@ -36,7 +36,7 @@ def test_clusters_of_a_long_path(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["links_with_reads"])
+@pytest.mark.parametrize("name", ["filter_with_reads", "links_with_reads"])
 def test_reads_beyond_the_relation_of_chromosomes(spark, sf_dir, tmp_path, name):
     """Larger tables have reads at places beyond 1,300,000; keys are shifted so that all of them lie there."""
     shifts = {"orders": {"o_orderkey": 200_000}, "events": {"event_id": 140_000}, "lineitem": {"l_partkey": 28_000}, "region": {}}
