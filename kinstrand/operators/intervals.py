@@ -74,6 +74,12 @@ def _islands(df: DataFrame, keys: list[str], gap: int, extra: list[str]) -> Data
     return numbered.groupBy(*keys, *extra, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
 
+def fuse(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """As ``union_runs``, for many small groups: all rows of a group meet in one task, and are shuffled once."""
+    spans = df.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    return _islands(spans, keys, 1, []).select(*keys, F.col("s").alias(start), F.col("e").alias(end))
+
+
 def union_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", touching: bool = True, tile: int = TILE) -> DataFrame:
     """The union of the intervals of each group as disjoint runs (``keys``, start, end).
 
@@ -95,10 +101,12 @@ def union_runs(df: DataFrame, keys: list[str], start: str = "start", end: str =
     return inside.where(~edge).drop("_tile").unionByName(across).select(*keys, F.col("s").alias(start), F.col("e").alias(end))
 
 
-def depth_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", tile: int = TILE) -> DataFrame:
-    """How many intervals cover each base, as runs of equal depth above 0 (``keys``, start, end, depth long)."""
-    spans = df.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
-    steps = spans.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+def depth_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", tile: int = TILE, weight: str | None = None) -> DataFrame:
+    """How many intervals cover each base, as runs of equal depth above 0 (``keys``, start, end, depth long). ``weight``: as
+    how many an interval counts."""
+    n = F.lit(1) if weight is None else F.col(weight).cast("int")
+    spans = df.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), n.alias("_n"))
+    steps = spans.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.col("_n").alias("d")), F.struct((F.col("e") + 1).alias("at"), (-F.col("_n")).alias("d")))).alias("x"))
     steps = steps.groupBy(*keys, F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d")).withColumn("_tile", F.floor(F.col("at") / tile))
     tiles = steps.groupBy(*keys, "_tile").agg(F.sum("d").alias("total"))
     before = W.partitionBy(*keys).orderBy("_tile")

@@ -116,3 +116,29 @@ def test_alignment_rows_of_every_read(spark):
     over = spark.createDataFrame([("b", 5, 900)], "origin_chr string, origin_start long, n_close long")
     got = sorted((r["qname"], r["flag"], r["rname"], r["pos"], r["mapq"], r["cigar"]) for r in align.all_sam_rows(reads, found, over, 10).collect())
     assert got == [("T10;a:1-10", 0, "a", 1, 10, "10M"), ("T10;a:1-10", 272, "b", 7, 8, "10M"), ("T10;a:11-20", 0, "a", 11, 10, "10M"), ("T10;b:5-14", 4, "*", 0, 0, "*")]
+
+
+@pytest.mark.parametrize("cell", [8, 1024])
+def test_distinct_coverage_where_strands_cross(spark, monkeypatch, cell):
+    """Every base against sets of its origin positions: long entries, and strands that give a base the same one."""
+    from kinstrand.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "CELL", cell)
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 1), s := rng.randint(1, 90), s + (n := rng.choice([-1, 0, 5, 30])), rng.choice([0, 1, None]), o := rng.randint(1, 60), o + n, rng.choice("+-")) for _ in range(160)]
+    e = spark.createDataFrame(rows, "align_chr long, align_start long, align_end long, origin_chr long, origin_start long, origin_end long, strand string")
+    places = {}
+    for a, s, t, c, o, _, strand in rows:
+        for p in range(s, t + 1) if c is not None else ():
+            places.setdefault((a, p), set()).add((c, o + p - s if strand == "+" else o + t - p))
+    got = {(r["chr"], p): r["cov"] for r in evaluate.distinct_coverage(e).collect() for p in range(r["start"], r["end"] + 1)}
+    assert got == {k: len(v) for k, v in places.items()}
+
+
+def test_distinct_coverage_makes_no_row_for_each_base(spark):
+    from kinstrand.operators import evaluate
+
+    e = spark.createDataFrame([(0, 1, 10**7, 1, 5, 10**7 + 4, "+"), (0, 3, 10**7, 1, 7, 10**7 + 4, "+")], "align_chr long, align_start long, align_end long, origin_chr long, origin_start long, origin_end long, strand string")
+    made = evaluate.distinct_coverage(e)
+    assert [tuple(r) for r in made.collect()] == [(0, 1, 10**7, 1)]
+    assert "sequence(align_start" not in made._jdf.queryExecution().toString()
