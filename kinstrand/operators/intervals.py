@@ -55,14 +55,17 @@ def stab_join(points: DataFrame, intervals: DataFrame, keys: Sequence[tuple[str,
 def overlap_semi(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], left_span: tuple[Column, Column], right_span: tuple[Column, Column], size: int = BIN) -> DataFrame:
     """Rows of ``left`` (columns and repeats kept) that overlap any row of ``right``.
 
-    ``right`` is fused into disjoint runs first, and a row of ``left`` tests each of its bins against them.
+    ``right`` is fused into disjoint runs first, and each different span of ``left`` tests its bins against them. Rows are told
+    by key and span: a number for each row would not be the same when a cluster computes ``left`` twice.
     """
-    runs = union_runs(right.select(*(F.col(y).alias(f"_k{i}") for i, (_, y) in enumerate(keys)), right_span[0].alias("_s"), right_span[1].alias("_e")), [f"_k{i}" for i in range(len(keys))], "_s", "_e")
+    names = [f"_k{i}" for i in range(len(keys))]
+    runs = union_runs(right.select(*(F.col(y).alias(k) for k, (_, y) in zip(names, keys, strict=True)), right_span[0].alias("_s"), right_span[1].alias("_e")), names, "_s", "_e")
     cells = runs.withColumn("_rbin", F.explode(_bins(F.col("_s"), F.col("_e"), size)))
-    marked = left.withColumn("_row", F.monotonically_increasing_id())
-    bins = marked.select("_row", *(F.col(x).alias(f"_k{i}") for i, (x, _) in enumerate(keys)), left_span[0].alias("_ls"), left_span[1].alias("_le")).withColumn("_rbin", F.explode(_bins(F.col("_ls"), F.col("_le"), size)))
-    hit = bins.join(cells, [*(f"_k{i}" for i in range(len(keys))), "_rbin"]).where(overlaps(F.col("_ls"), F.col("_le"), F.col("_s"), F.col("_e"))).select("_row").distinct()
-    return marked.join(hit, "_row", "left_semi").drop("_row")
+    span = [*names, "_ls", "_le"]
+    marked = left.select("*", *(F.col(x).alias(k) for k, (x, _) in zip(names, keys, strict=True)), left_span[0].cast("long").alias("_ls"), left_span[1].cast("long").alias("_le"))
+    bins = marked.select(*span).distinct().withColumn("_rbin", F.explode(_bins(F.col("_ls"), F.col("_le"), size)))
+    hit = bins.join(cells, [*names, "_rbin"]).where(overlaps(F.col("_ls"), F.col("_le"), F.col("_s"), F.col("_e"))).select(*span).distinct()
+    return marked.join(hit, span, "left_semi").select(*left.columns)
 
 
 def _islands(df: DataFrame, keys: list[str], gap: int, extra: list[str]) -> DataFrame:

@@ -142,3 +142,22 @@ def test_distinct_coverage_makes_no_row_for_each_base(spark):
     made = evaluate.distinct_coverage(e)
     assert [tuple(r) for r in made.collect()] == [(0, 1, 10**7, 1)]
     assert "sequence(align_start" not in made._jdf.queryExecution().toString()
+
+
+def test_semi_join_of_rows_in_another_order_each_time(spark):
+    """On a cluster, rows that were shuffled come in another order whenever they are read."""
+
+    def shuffled(batches):
+        import numpy as np
+
+        for batch in batches:
+            yield batch.take(np.random.default_rng().permutation(len(batch)))
+
+    left = spark.range(0, 4000, 1, 2).selectExpr("id % 3 AS chr", "id * 10 AS s", "id * 10 + 4 AS e", "id % 7 AS n")
+    left = left.mapInArrow(shuffled, left.schema)
+    right = spark.range(0, 400).selectExpr("id % 3 AS rchr", "id * 97 AS rs", "id * 97 + 20 AS re")
+    got = iv.overlap_semi(left, right, [("chr", "rchr")], (F.col("s"), F.col("e")), (F.col("rs"), F.col("re")))
+    spans = [(k % 3, k * 97, k * 97 + 20) for k in range(400)]
+    rows = [(k % 3, k * 10, k * 10 + 4, k % 7) for k in range(4000)]
+    want = [r for r in rows if any(r[0] == c and r[1] <= e and s <= r[2] for c, s, e in spans)]
+    assert got.columns == ["chr", "s", "e", "n"] and sorted(map(tuple, got.collect())) == sorted(want) != []
