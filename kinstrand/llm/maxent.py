@@ -37,13 +37,15 @@ FAN = 16
 #: Classes of the words that have no leaf of their own, by their last letters; words that have one.
 RARE = 1024
 HEAD = FAN**4 - RARE
-#: Numbers of a sketch.
+#: Numbers of a sketch (a power of two).
 SKETCH = 32
 #: Features, and how many of them the nodes of each level see; the lower levels see the first ones.
 FEATURES, SEEN = 4, (4, 4, 2, 2)
 #: log2 of the least and the most rows of feature weights, and tokens for each row.
 LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 18, 21, 2
 BATCH = 1024
+#: Batches whose rows are found at once.
+AT_ONCE = 8
 RATE = 0.8
 #: Characters of text for one trainer, trainers at least, and sorted shares of one trainer's documents.
 TRAINER_CHARS, TRAINERS, SHARES = 160_000_000, 3, 16
@@ -53,10 +55,13 @@ YOUNG = 10.0
 BLOCK_ROWS, ADDED = 1024, 64
 #: Bytes whose tokens are found at once; their numbers take some dozen times that.
 BLOCK = 1 << 18
+#: Bytes of a block whose numbers stay near the processor while they are added up.
+PIECE = 1 << 13
 
 END = np.uint64(0x27D4EB2F165667C5)
 _BASE = 0x9FB21C651E98DF25
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_M3, _M4 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _S = np.uint64(33)
 
 _LOWER = np.arange(256, dtype=np.uint64) + 1
@@ -71,31 +76,40 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S)
 
 
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _cache:
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _cache.clear()
-        _cache[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _cache[size]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``n`` or more powers of the base, of its inverse, and room for as many sums; kept unless a block is unusually long."""
+    size = 1 << max(19, (n - 1).bit_length())
+    if _kept and len(_kept[0][0]) == size:
+        return _kept[0]
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    made = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), np.zeros(size, np.uint64)
+    if size == 1 << 19:
+        _kept.append(made)
+    return made
 
 
 def _block_tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, rare class and position of each word of a block that begins and ends between words."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]]).astype(np.int8)))
+    blank = np.ones(len(raw) + 2, bool)
+    np.less(raw - np.uint8(9), 5, out=blank[1:-1])
+    blank[1:-1] |= raw == 32
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), start
-    up, down = _powers(len(raw) + 1)
-    value = _LOWER[raw]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(raw)], dtype=np.uint64)])
+    up, down, total = _powers(len(raw) + 1)  # the first sum is zero and stays so
+    for k in range(0, len(raw), PIECE):
+        value = _LOWER.take(raw[k : k + PIECE])
+        value *= up[k : k + len(value)]
+        value[:1] += total[k]
+        np.cumsum(value, out=total[k + 1 : k + 1 + len(value)])
     h = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M2)
-    last = value[end - 1]
-    before = np.where(end - start > 1, value[np.maximum(end - 2, 0)], np.uint64(0))
+    last = _LOWER[raw[end - 1]]
+    before = np.where(end - start > 1, _LOWER[raw[np.maximum(end - 2, 0)]], np.uint64(0))
     return h, ((_mix(last * np.uint64(512) + before) >> np.uint64(20)) % np.uint64(RARE)).astype(np.int64), start
 
 
@@ -107,8 +121,8 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while k < len(raw):
         end = min(len(raw), k + BLOCK)
         while end < len(raw) and not _BLANK[raw[end]]:
-            ahead = np.flatnonzero(_BLANK[raw[end : end + BLOCK]])
-            end = end + int(ahead[0]) if len(ahead) else min(len(raw), end + BLOCK)
+            ahead = np.flatnonzero(_BLANK[raw[end : end + PIECE]])
+            end = end + int(ahead[0]) if len(ahead) else min(len(raw), end + PIECE)
         h, shared, start = _block_tokens(raw[k:end])
         pieces.append((h, shared, start + k))
         k = end
@@ -136,10 +150,13 @@ def _before(x: np.ndarray, first: np.ndarray, edge: int) -> tuple[np.ndarray, np
 
 
 def features(h: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Hashes of the features of each token's context: ``FEATURES`` rows."""
+    """Hashes (32 bits) of the features of each token's context: ``FEATURES`` rows."""
     one, two = _before(h, first, int(END))
     near, far = _before((code >> 8).astype(np.uint64), first, 999)
-    return np.stack([one * _M1, _mix(one * _M2 + two), two * _M2 + _M1, (near * np.uint64(1009) + far + np.uint64(7)) * _M2])
+    found = np.empty((FEATURES, len(h)), np.uint32)
+    for own, x in zip(found, (one * _M1, _mix(one * _M2 + two), two * _M2 + _M1, (near * np.uint64(1009) + far + np.uint64(7)) * _M2), strict=True):
+        own[:] = x >> np.uint64(32)
+    return found
 
 
 @dataclass
@@ -238,51 +255,55 @@ class Model:
         """The path of each token, whose number in the head (or -1) and rare class are given."""
         return self.code[np.where(found >= 0, found + RARE, rare)]
 
-    def levels(self, f: np.ndarray, code: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-        """For each node on the way: the rows of its features, the node, and the branch taken."""
-        last, base = np.uint64(self.rows - 1), 0
+    def levels(self, f: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each node on the way: the rows of its features (one line a feature), the node, and the branch taken."""
+        left, base = np.uint32(33 - self.rows.bit_length()), 0
         for level in range(self.depth):
             node = (code >> (4 * (self.depth - level))) + base
             branch = (code >> (4 * (self.depth - level - 1))) & (FAN - 1)
-            key, rows = (node + 1).astype(np.uint64) * _M1, []
-            for own in f[: SEEN[min(level, len(SEEN) - 1)]]:
-                x = own ^ key
-                x ^= x >> _S
-                x *= _M2
-                x >>= np.uint64(32)
-                x &= last
-                rows.append(x.astype(np.int64))
-            yield rows, node, branch
+            x = f[: SEEN[min(level, len(SEEN) - 1)]] ^ ((node + 1).astype(np.uint32) * _M3)
+            x ^= x >> np.uint32(15)
+            x *= _M4
+            x >>= left
+            yield x.astype(np.int64), node, branch
             base += FAN**level
 
+    def batches(self, f: np.ndarray, code: np.ndarray, out: np.ndarray) -> Iterator[tuple[list[tuple[np.ndarray, ...]], np.ndarray]]:
+        """For each ``BATCH`` of tokens what ``levels`` gives (found for some batches at once), and its part of ``out``."""
+        for k in range(0, len(code), AT_ONCE * BATCH):
+            end = min(len(code), k + AT_ONCE * BATCH)
+            whole = list(self.levels(f[:, k:end], code[k:end]))
+            for j in range(0, end - k, BATCH):
+                yield [tuple(x[..., j : j + BATCH] for x in level) for level in whole], out[k + j : min(end, k + j + BATCH)]
 
-_rows = [np.empty((BATCH, FAN), np.float32) for _ in range(FEATURES + 1)]
 
+#: Weights of a batch's rows, odds, and changes of one feature's weights.
+_own = np.empty((FEATURES * BATCH, FAN), np.float32)
+_out, _change = np.empty((2, BATCH, FAN), np.float32)
+#: Where each token's branches begin among all of a batch.
+_begin = np.arange(0, BATCH * FAN, FAN)
 
-def _odds(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+
+def _odds(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Odds of the branches of each node, and the weights of each feature; both are overwritten by the next call."""
-    n = len(node)
-    out, own = _rows[-1][:n], [x[:n] for x in _rows[: len(rows)]]
+    out, own = _out[: len(node)], _own[: rows.size].reshape(*rows.shape, FAN)
     np.take(bias, node, axis=0, out=out, mode="clip")
-    for row, x in zip(rows, own, strict=True):
-        np.take(weights, row, axis=0, out=x, mode="clip")
+    np.take(weights, rows, axis=0, out=own, mode="clip")
+    for x in own:
         out += x
-    np.minimum(out, 60, out=out)
+    np.minimum(out, 40, out=out)  # so that their squares are numbers, too
     np.exp(out, out=out)
     return out, own
 
 
 def path_log10(model: Model, f: np.ndarray, code: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's path."""
-    out, weights = np.empty(len(code)), model.full()
-    for k in range(0, len(code), BATCH):
-        part = code[k : k + BATCH]
-        p, at = np.ones(len(part)), np.arange(len(part))
-        for rows, node, branch in model.levels(f[:, k : k + BATCH], part):
+    out, weights = np.ones(len(code)), model.full()
+    for steps, p in model.batches(f, code, out):
+        for rows, node, branch in steps:
             odds, _ = _odds(model.bias, weights, rows, node)
-            p *= odds[at, branch] / odds.sum(1)
-        out[k : k + BATCH] = np.log10(np.maximum(p, 1e-300))
-    return out
+            p *= odds.reshape(-1)[_begin[: len(p)] + branch] / np.einsum("ij->i", odds)
+    return np.log10(np.maximum(out, 1e-300))
 
 
 class Trainer:
@@ -292,27 +313,29 @@ class Trainer:
     def __init__(self, model: Model):
         self.model = model
         self.weights = np.zeros((model.rows, FAN), np.float32)
+        #: The same weights, each row as one item.
+        self.places = self.weights.reshape(-1).view(f"V{4 * FAN}")
         self.past = np.zeros(model.rows, np.float32)
 
-    def batch(self, f: np.ndarray, code: np.ndarray) -> None:
-        for rows, node, branch in self.model.levels(f, code):
+    def batch(self, steps: list[tuple[np.ndarray, ...]]) -> None:
+        for rows, node, branch in steps:
             g, own = _odds(self.model.bias, self.weights, rows, node)
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(len(g)), branch] -= 1
-            size = np.einsum("ij,ij->i", g, g) + np.float32(1e-4)
-            for row, x in zip(rows, own, strict=True):
-                past = self.past.take(row, mode="clip")
-                past += size
-                self.past[row] = past
-                np.sqrt(past, out=past)
-                x -= g * (np.float32(RATE) / past)[:, None]
-                self.weights[row] = x
+            total = np.einsum("ij->i", g)
+            g.reshape(-1)[_begin[: len(g)] + branch] -= total  # the gradient, times the total
+            part = np.float32(1) / total
+            past = self.past.take(rows, mode="clip")
+            past += np.einsum("ij,ij->i", g, g) * part * part + np.float32(1e-4)
+            self.past.put(rows, past, mode="clip")
+            np.sqrt(past, out=past)
+            np.divide(part * np.float32(RATE), past, out=past)
+            for x, step in zip(own, past, strict=True):
+                x -= np.multiply(g, step[:, None], out=_change[: len(g)])
+            self.places.put(rows, own.reshape(-1).view(self.places.dtype), mode="clip")
 
     def text(self, h: np.ndarray, rare: np.ndarray, first: np.ndarray) -> None:
         code = self.model.codes(self.model.head.find(h), rare)
-        f = features(h, first, code)
-        for k in range(0, len(code), BATCH):
-            self.batch(f[:, k : k + BATCH], code[k : k + BATCH])
+        for steps, _ in self.model.batches(features(h, first, code), code, code):
+            self.batch(steps)
 
 
 #: Different tokens that a task gathers before it hands on their counts.
@@ -324,8 +347,11 @@ def count_tokens(train: DataFrame) -> DataFrame:
 
     def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         h, rare, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key, first, at = np.unique(h, return_index=True, return_inverse=True)
-        return key, rare[first], np.bincount(at, n, len(key)).astype(np.int64)
+        found = pa.array(h).dictionary_encode()
+        key, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+        own = np.empty(len(key), rare.dtype)
+        own[at] = rare
+        return key, own, np.bincount(at, n, len(key)).astype(np.int64)
 
     def handed(h: np.ndarray, rare: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rare.astype(np.int32)), pa.array(n)], names=["token", "class", "n"])
@@ -384,9 +410,8 @@ def _sketches(train: DataFrame, head: Head) -> np.ndarray:
                 after = np.concatenate([h[1:], [END]]) if len(h) else h
                 after[first[1:] - 1] = END
                 for k, near in enumerate((one, after)):
-                    z = _mix(near + np.uint64(k + 1))
-                    sign = (z >> np.uint64(20)) & np.uint64(1) == 1
-                    np.add.at(out, at + (z % np.uint64(SKETCH)).astype(np.int64), np.where(sign, np.int32(1), np.int32(-1)))
+                    z = _mix(near + np.uint64(k + 1)).view(np.int64)
+                    np.add.at(out, at + (z & (SKETCH - 1)), ((z >> 19) & 2).astype(np.int32) - np.int32(1))
         blocks = [out[k : k + BLOCK_ROWS * SKETCH].astype(np.int64).tobytes() for k in range(0, len(out), BLOCK_ROWS * SKETCH)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(blocks)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int32()), pa.array([b""] * len(blocks), pa.binary()), pa.array(blocks, pa.binary())],

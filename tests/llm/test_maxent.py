@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -113,3 +114,68 @@ def test_edges(spark):
     assert maxent.score_held_out(df.limit(0)).count() == 0
     none = maxent.score_texts(df, *maxent.train(df.limit(0))).collect()
     assert {r["n_known"] for r in none} == {0} and {r["train_tokens"] for r in none} == {0}
+
+
+def test_steps_equal_plain_ones_and_cost_less():
+    """The trainer against the same steps feature by feature; the plain form took as long as the trainer's own once did."""
+    rng, bits = np.random.default_rng(6), 18
+    words = maxent._mix(np.arange(1, 4001, dtype=np.uint64))
+    counts = np.sort(rng.zipf(1.3, len(words)).clip(1, 10**6))[::-1]
+    code, depth = maxent.class_tree(rng.normal(size=(maxent.RARE + len(words), 8)))
+    head = maxent.Head.of(words, counts)
+    bias = maxent._bias(code, depth, np.concatenate([np.ones(maxent.RARE), head.counts]))
+    model = maxent.Model(head, int(counts.sum()), len(words), np.ones(maxent.RARE), code, depth, bias, np.zeros((1, 16), np.int8), np.zeros(1, np.float16), 1 << bits)
+    h, first = words[rng.choice(len(words), 40_000, p=counts / counts.sum())], np.arange(0, 40_000, 200)
+    rare = np.zeros(len(h), np.int64)
+
+    def plain(weights, past):
+        path = model.codes(head.find(h), rare)
+        f = maxent.features(h, first, path)
+        for k in range(0, len(path), maxent.BATCH):
+            for rows, node, branch in model.levels(f[:, k : k + maxent.BATCH], path[k : k + maxent.BATCH]):
+                own = [weights.take(r, axis=0, mode="clip") for r in rows]
+                g = np.exp(model.bias[node] + sum(own))
+                g /= g.sum(1, keepdims=True)
+                g[np.arange(len(g)), branch] -= 1
+                size = (g * g).sum(1) + np.float32(1e-4)
+                for r, x in zip(rows, own, strict=True):
+                    past[r] = now = past[r] + size
+                    weights[r] = x - g * (np.float32(maxent.RATE) / np.sqrt(now))[:, None]
+
+    took = [[], []]
+    for _ in range(5):
+        weights, past, trainer = np.zeros((1 << bits, 16), np.float32), np.zeros(1 << bits, np.float32), maxent.Trainer(model)
+        for own, run in zip(took, (lambda: plain(weights, past), lambda: trainer.text(h, rare, first)), strict=True):  # noqa: B023
+            began = time.process_time()
+            run()
+            own.append(time.process_time() - began)
+    # rows that two features share may differ
+    same = np.isclose(trainer.weights, weights, rtol=1e-2, atol=1e-2).all(1)
+    assert past.any() and same[past > 0].mean() > 0.97
+    assert min(took[1]) < 0.85 * min(took[0]), took
+
+
+def test_rows_of_batches_are_those_of_levels(monkeypatch):
+    rng = np.random.default_rng(8)
+    code, depth = maxent.class_tree(rng.normal(size=(maxent.RARE + 1, 4)))
+    model = maxent.Model(maxent.Head.of(np.zeros(0, np.uint64), np.zeros(0)), 0, 0, np.ones(maxent.RARE), code, depth, np.zeros(0), np.zeros((1, 16), np.int8), np.zeros(1, np.float16), 1 << 18)
+    path = code[rng.integers(0, len(code), 50)]
+    f = rng.integers(0, 1 << 32, (maxent.FEATURES, 50), dtype=np.uint32)
+    whole = list(model.levels(f, path))
+    assert all(0 <= r.min() and r.max() < 1 << 18 for r, _, _ in whole)
+    monkeypatch.setattr(maxent, "BATCH", 7)
+    monkeypatch.setattr(maxent, "AT_ONCE", 3)
+    parts = list(model.batches(f, path, np.arange(50)))
+    assert np.array_equal(np.concatenate([out for _, out in parts]), np.arange(50))
+    for level, want in enumerate(whole):
+        for got, x in zip(zip(*(steps[level] for steps, _ in parts), strict=True), want, strict=True):
+            assert np.array_equal(np.concatenate(got, axis=-1), x)
+
+
+def test_blocks_share_their_powers():
+    """Tables of powers were made anew whenever a short block followed a long one; a word beyond them still is found whole."""
+    assert maxent._powers(100)[0] is maxent._powers(maxent.BLOCK + 20)[0] is maxent._powers(90_000)[0]
+    word = "q" * 700_000
+    h, _, first = maxent.tokens(pa.array(["a b", f"x {word} b", "b a", word]))
+    assert first.tolist() == [0, 3, 7, 10] and h[5] == h[1] == h[7] and h[0] == h[8] and h[4] == h[10]
+    assert len(maxent._powers(100)[0]) == 1 << 19
